@@ -28,13 +28,13 @@ def top_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[C
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def int_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Exact median of an INT column per group.
+def int_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Mean, exact median, smallest and largest of an INT column per group.
 
     A plain median gathers every value of a group in one task. Here rows are
     first reduced to (value, count); the high 16 bits (at most 65,536 buckets)
     locate the bucket of the middle rows, and only those buckets are then walked
-    value by value (at most 65,536 each). No step sees more rows than that per group.
+    value by value (at most 65,536 each). No task sees more rows than that per group.
     """
     group = list(group)
     counted = (
@@ -43,12 +43,23 @@ def int_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_hi", F.floor(F.col("_v") / _HALF).cast("int"))
     )
-    buckets = counted.groupBy(*group, "_hi").agg(F.sum("_n").alias("_bn"))
+    amount = F.col("_v").cast("decimal(10,0)") * F.col("_n").cast("decimal(20,0)")
+    buckets = counted.groupBy(*group, "_hi").agg(
+        F.sum("_n").alias("_bn"), F.sum(amount).alias("_sum"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+    )
     by_bucket = Window.partitionBy(*group).orderBy("_hi")
     whole = Window.partitionBy(*group)
     located = (
-        buckets.withColumn("_upto", F.sum("_bn").over(by_bucket))
-        .withColumn("_total", F.sum("_bn").over(whole))
+        buckets.withColumns(
+            {
+                "_upto": F.sum("_bn").over(by_bucket),
+                "_total": F.sum("_bn").over(whole),
+                "mean": F.sum("_sum").over(whole).cast("double") / F.sum("_bn").over(whole),
+                "smallest": F.min("_min").over(whole),
+                "largest": F.max("_max").over(whole),
+            }
+        )
         .withColumn("_before", F.col("_upto") - F.col("_bn"))
         .withColumn("_lo_rank", F.floor((F.col("_total") - 1) / 2))
         .withColumn("_hi_rank", F.floor(F.col("_total") / 2))
@@ -56,7 +67,7 @@ def int_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
             F.col("_lo_rank").between(F.col("_before"), F.col("_upto") - 1)
             | F.col("_hi_rank").between(F.col("_before"), F.col("_upto") - 1)
         )
-        .select(*group, "_hi", "_before", "_lo_rank", "_hi_rank")
+        .select(*group, "_hi", "_before", "_lo_rank", "_hi_rank", "mean", "smallest", "largest")
     )
     in_bucket = Window.partitionBy(*group, "_hi").orderBy("_v")
     walked = (
@@ -70,4 +81,9 @@ def int_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         return F.max(F.when(hit, F.col("_v")))
 
     middle = (at("_lo_rank").cast("double") + at("_hi_rank").cast("double")) / 2
-    return walked.groupBy(*group).agg(middle.alias("median"))
+    return walked.groupBy(*group).agg(
+        F.max("mean").alias("mean"),
+        middle.alias("median"),
+        F.max("smallest").alias("smallest"),
+        F.max("largest").alias("largest"),
+    )

@@ -11,21 +11,32 @@ from hirescope.functions.text import fingerprint
 from hirescope.sources.registry import SOURCES, Source
 
 
+RECORD_BITS = 20
+
+
+def _arrival(position: Column) -> Column:
+    """Arrival number of a record: the payload's number, then the place inside the payload."""
+    room = 1 << RECORD_BITS
+    checked = F.when(position < room, position.cast("bigint")).otherwise(
+        F.raise_error(F.lit(f"a payload holds more than {room} records")).cast("bigint")
+    )
+    return (F.shiftleft(F.col("ingest_seq"), RECORD_BITS) + checked).alias("ingest_seq")
+
+
 def map_source(landing: DataFrame, source: str | Source, cfg: Config) -> DataFrame:
     """Postings of one board. Reads only that board's folder if landing is partitioned by source."""
     board = SOURCES[source] if isinstance(source, str) else source
     return (
         landing.where(F.col("source") == board.name)
-        .select("ingest_seq", "context", F.explode_outer(board.records(F.col("payload"))).alias("record"))
-        .select("ingest_seq", board.posting(F.col("record"), F.col("context"), cfg).alias("posting"))
+        .select("ingest_seq", "context", F.posexplode_outer(board.records(F.col("payload"))).alias("pos", "record"))
+        .select(_arrival(F.col("pos")), board.posting(F.col("record"), F.col("context"), cfg).alias("posting"))
         .where(F.col("posting").isNotNull())
         .select("posting.*", "ingest_seq")
     )
 
 
 def _postings_of(payload: Column, context: Column, board: Source, cfg: Config) -> Column:
-    mapped = F.transform(board.records(payload), lambda record: board.posting(record, context, cfg))
-    return F.array_compact(mapped)
+    return F.transform(board.records(payload), lambda record: board.posting(record, context, cfg))
 
 
 def _tagged(landing: DataFrame, cfg: Config, boards: list[Source]) -> DataFrame:
@@ -48,16 +59,17 @@ def union_sources(landing: DataFrame, cfg: Config, boards: list[str] | None = No
     chosen = [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
     return (
         _tagged(landing, cfg, chosen)
-        .select("ingest_seq", F.explode_outer("postings").alias("posting"))
+        .select("ingest_seq", F.posexplode_outer("postings").alias("pos", "posting"))
         .where(F.col("posting").isNotNull())
+        .select(_arrival(F.col("pos")), "posting")
         .select("posting.*", "ingest_seq")
     )
 
 
 def quarantined(landing: DataFrame, cfg: Config, boards: list[str] | None = None) -> DataFrame:
     chosen = [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
-    empty = F.coalesce(F.size("postings"), F.lit(0)) <= 0
-    return _tagged(landing, cfg, chosen).where(empty).drop("postings")
+    usable = F.coalesce(F.exists("postings", lambda p: p.isNotNull()), F.lit(False))
+    return _tagged(landing, cfg, chosen).where(~usable).drop("postings")
 
 
 def dedup_and_cap(postings: DataFrame, cfg: Config) -> DataFrame:
