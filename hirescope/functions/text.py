@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import or_
@@ -43,15 +44,50 @@ def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def merged_pattern(terms: Mapping[str, str]) -> str:
+    """Regex matching the longest of many literals (term -> pattern that must follow it).
+
+    The terms are merged by common prefix and long lists of branches are halved
+    by their first character, so a position is left after a few character tests
+    instead of one attempt per term.
+    """
+
+    def alternatives(options: list[tuple[str, str]]) -> str:
+        if len(options) <= 6:
+            return "|".join(regex for _, regex in options)
+        middle = len(options) // 2
+        halves = []
+        for part in (options[:middle], options[middle:]):
+            heads = "".join(quote(head) for head, _ in part)
+            halves.append(f"(?=[{heads}])(?:{alternatives(part)})")
+        return "|".join(halves)
+
+    branches: dict[str, dict[str, str]] = defaultdict(dict)
+    for term, end in terms.items():
+        if term:
+            branches[term[0]][term[1:]] = end
+    body = [alternatives([(head, quote(head) + merged_pattern(rest)) for head, rest in sorted(branches.items())])]
+    if "" in terms:
+        body.append(terms[""])  # shorter term last: the longest one wins
+        return "(?:" + "|".join(body) + ")" if branches else body[-1]
+    return body[0] if len(branches) <= 1 else "(?:" + body[0] + ")"
+
+
 def contains_any(c: Column, words: Iterable[str], whole_words: bool = False) -> Column:
-    """True if ``c`` contains one of ``words`` (substring test unless ``whole_words``)."""
+    """True if ``c`` contains one of ``words`` (substring test unless ``whole_words``).
+
+    One pattern for the whole list: the input expression appears once, which
+    keeps filters small enough for code generation.
+    """
     words = list(words)
     if not words:
         return F.lit(False)
     if whole_words:
-        any_word = "|".join(quote(w.strip()) for w in words)
-        return c.rlike(f"(?U)(?<!{WORD})(?:{any_word})(?!{WORD})")
-    return reduce(or_, [c.contains(w) for w in words])
+        any_word = merged_pattern({w.strip(): f"(?!{WORD})" for w in words})
+        return c.rlike(f"(?<!{WORD}){any_word}")
+    if len(words) <= 2:
+        return reduce(or_, [c.contains(w) for w in words])
+    return c.rlike(merged_pattern({w: "" for w in words}))
 
 
 def count_contained(c: Column, words: Iterable[str]) -> Column:

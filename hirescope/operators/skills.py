@@ -7,15 +7,13 @@ instead of extracting again.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirescope import fixed_values as fv
 from hirescope.config import Config
 from hirescope.functions.stats import top, top_per_group
-from hirescope.functions.text import WORD, blank_if_null, quote
+from hirescope.functions.text import WORD, blank_if_null, merged_pattern
 
 _WORD_CHAR = f"(?={WORD})"
 _NO_WORD_CHAR = f"(?!{WORD})"
@@ -41,22 +39,9 @@ def _end_of(term: str, cfg: Config) -> str:
 def term_pattern(cfg: Config) -> str:
     """Pattern that captures, at every word start, the longest term beginning there.
 
-    The terms are merged by common prefix, so a position is left after a few
-    character tests instead of one attempt per term. The capture sits in a
-    look-ahead: terms may overlap and every start is seen.
+    The capture sits in a look-ahead: terms may overlap and every start is seen.
     """
-
-    def merge(suffixes: dict[str, str]) -> str:
-        branches = defaultdict(dict)
-        for suffix, end in suffixes.items():
-            if suffix:
-                branches[suffix[0]][suffix[1:]] = end
-        options = [quote(head) + merge(rest) for head, rest in sorted(branches.items())]
-        if "" in suffixes:
-            options.append(suffixes[""])  # shorter term last: the longest one wins
-        return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
-
-    return f"(?<!{WORD})(?=(" + merge({t: _end_of(t, cfg) for t in cfg.skills}) + "))"
+    return f"(?<!{WORD})(?=(" + merged_pattern({t: _end_of(t, cfg) for t in cfg.skills}) + "))"
 
 
 def contained_terms(cfg: Config) -> list[tuple[str, str]]:
@@ -70,15 +55,17 @@ def contained_terms(cfg: Config) -> list[tuple[str, str]]:
     ]
 
 
+def _restated(mentions: str, longer: str, shorter: str) -> Column:
+    """One entry of the shorter term for every mention of the longer one."""
+    return F.transform(F.filter(mentions, lambda t: t == longer), lambda _: F.lit(shorter))
+
+
 def _with_mentions(df: DataFrame, cfg: Config) -> DataFrame:
     """``_folded`` text and ``_mentions``: one array entry per occurrence of a term."""
     df = df.withColumn("_folded", fold(posting_text()))
     # The pattern carries its own end tests, so the captured text is the term itself.
     df = df.withColumn("_longest", F.regexp_extract_all("_folded", F.lit(term_pattern(cfg)), F.lit(1)))
-    implied = [
-        F.transform(F.filter("_longest", lambda t, w=longer: t == w), lambda _, s=shorter: F.lit(s))
-        for longer, shorter in contained_terms(cfg)
-    ]
+    implied = [_restated("_longest", longer, shorter) for longer, shorter in contained_terms(cfg)]
     return df.withColumn("_mentions", F.concat(F.col("_longest"), *implied)).drop("_longest")
 
 
@@ -106,7 +93,8 @@ def extract_skills(df: DataFrame, cfg: Config) -> DataFrame:
     text after the first marker of each line is collected once per posting.
     """
     markers = "|".join(fv.REQUIRED_MARKERS)
-    after_marker = F.regexp_extract_all("_folded", F.lit(f"(?d)(?:{markers})(.*)"), F.lit(1))
+    heads = "".join(sorted({m[0] for m in fv.REQUIRED_MARKERS}))  # cheap test before the list
+    after_marker = F.regexp_extract_all("_folded", F.lit(f"(?d)(?=[{heads}])(?:{markers})(.*)"), F.lit(1))
     counted = F.transform(
         F.array_distinct("_mentions"),
         lambda name: F.struct(
@@ -115,11 +103,14 @@ def extract_skills(df: DataFrame, cfg: Config) -> DataFrame:
     )
 
     def is_required(name: Column) -> Column:
+        # Two references to the column: with one, Spark would inline its regular
+        # expression into this function and run it once per skill.
+        some = F.col("_after_marker") != ""
         if not cfg.strict_required:
-            return F.contains(F.col("_after_marker"), name)
+            return some & F.contains(F.col("_after_marker"), name)
         escaped = F.regexp_replace(name, r"([^\w\s])", r"\\$1")
         whole = F.concat(F.lit(f"(?<!{WORD})"), escaped, F.lit(_NO_WORD_CHAR))
-        return F.regexp_like(F.col("_after_marker"), whole)
+        return some & F.regexp_like(F.col("_after_marker"), whole)
 
     hits = F.transform(
         F.array_sort("_counted"),

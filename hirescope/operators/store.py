@@ -18,7 +18,7 @@ from hirescope.config import Config
 from hirescope.functions.text import blank_if_null, strip
 from hirescope.operators.dedup import company_upsert
 from hirescope.operators.lookups import new_postings
-from hirescope.schemas import RUN_LOG, conform
+from hirescope.schemas import RUN_LOG, STORED_COMPANIES, STORED_KEYS
 
 
 def store_rows(batch: DataFrame, stored_jobs: DataFrame, cfg: Config) -> DataFrame:
@@ -39,10 +39,8 @@ def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config) -> dict[str
     """Write one run's new postings and companies under ``root`` and return what was written."""
     spark = batch.sparkSession
     jobs_path, companies_path = f"{root}/jobs", f"{root}/companies"
-    stored_jobs = read_table(spark, jobs_path, "source STRING, external_id STRING", skip_run=run_id)
-    stored_companies = read_table(
-        spark, companies_path, "normalized_name STRING, name STRING, first_seq BIGINT", skip_run=run_id
-    )
+    stored_jobs = read_table(spark, jobs_path, STORED_KEYS, skip_run=run_id)
+    stored_companies = read_table(spark, companies_path, STORED_COMPANIES, skip_run=run_id)
     jobs = store_rows(batch, stored_jobs, cfg)
     jobs.write.mode("overwrite").partitionBy("posting_month").parquet(f"{jobs_path}/run_id={run_id}")
     written = spark.read.parquet(f"{jobs_path}/run_id={run_id}")
@@ -53,9 +51,8 @@ def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config) -> dict[str
     return {"jobs": written, "companies": spark.read.parquet(f"{companies_path}/run_id={run_id}")}
 
 
-def read_table(spark: SparkSession, path: str, ddl: str, skip_run: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType, skip_run: str | None = None) -> DataFrame:
     """All runs of a table, or an empty frame if there is none yet."""
-    schema = T.StructType.fromDDL(ddl)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     with_run = T.StructType(schema.fields + [T.StructField("run_id", T.StringType())])
@@ -100,8 +97,3 @@ def add_columns(df: DataFrame, wanted: T.StructType) -> DataFrame:
     missing = [f for f in wanted.fields if f.name not in df.columns]
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df
 
-
-__all__ = [
-    "store_rows", "store_run", "read_table", "path_exists", "run_log_row", "append_run",
-    "run_log_from", "add_columns", "conform",
-]

@@ -6,47 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANDING = T.StructType.fromDDL(
-    "source STRING, context STRING, payload STRING, ingest_seq BIGINT, landed_at TIMESTAMP"
-)
+STRING, INT, LONG, DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+BOOL, TIME, STRINGS = T.BooleanType(), T.TimestampType(), T.ArrayType(T.StringType())
 
-POSTING_FIELDS = T.StructType.fromDDL(
-    """source STRING, external_id STRING, title STRING, company STRING, url STRING,
-    apply_url STRING, description STRING, country STRING, city STRING, remote_type STRING,
-    salary_min INT, salary_max INT, salary_currency STRING, experience_level STRING,
-    employment_type STRING, visa_sponsorship BOOLEAN, international_hiring BOOLEAN,
-    relocation_support BOOLEAN, posting_date TIMESTAMP, closing_date TIMESTAMP,
-    role_category STRING, raw_data STRING"""
-)
 
-POSTING_RAW = T.StructType(POSTING_FIELDS.fields + [T.StructField("ingest_seq", T.LongType())])
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-SKILL_HITS = T.ArrayType(
-    T.StructType.fromDDL("name STRING, category STRING, is_required BOOLEAN, count INT")
-)
 
-JOB_SKILLS = T.StructType.fromDDL(
-    "fingerprint STRING, skill STRING, category STRING, is_required BOOLEAN, count INT"
-)
+LANDING = struct(source=STRING, context=STRING, payload=STRING, ingest_seq=LONG, landed_at=TIME)
 
-COMPANIES = T.StructType.fromDDL(
-    "normalized_name STRING, name STRING, industry STRING, first_seq BIGINT"
+POSTING_FIELDS = struct(
+    source=STRING, external_id=STRING, title=STRING, company=STRING, url=STRING, apply_url=STRING,
+    description=STRING, country=STRING, city=STRING, remote_type=STRING, salary_min=INT, salary_max=INT,
+    salary_currency=STRING, experience_level=STRING, employment_type=STRING, visa_sponsorship=BOOL,
+    international_hiring=BOOL, relocation_support=BOOL, posting_date=TIME, closing_date=TIME,
+    role_category=STRING, raw_data=STRING,
 )
 
-USERS = T.StructType.fromDDL(
-    "user_id BIGINT, skills ARRAY<STRING>, experience_years INT, target_role STRING"
-)
+POSTING_RAW = T.StructType(POSTING_FIELDS.fields + struct(ingest_seq=LONG).fields)
 
-PROJECTS = T.StructType.fromDDL(
-    """role_category STRING, catalog_order INT, title STRING, industry STRING,
-    business_problem STRING, dataset_source STRING, dataset_url STRING,
-    skills ARRAY<STRING>, difficulty STRING, estimated_hours INT, description STRING,
-    key_tasks ARRAY<STRING>, resume_bullets ARRAY<STRING>"""
+SKILL_HITS = T.ArrayType(struct(name=STRING, category=STRING, is_required=BOOL, count=INT))
+
+USERS = struct(user_id=LONG, skills=STRINGS, experience_years=INT, target_role=STRING)
+
+PROJECTS = struct(
+    role_category=STRING, catalog_order=INT, title=STRING, industry=STRING, business_problem=STRING,
+    dataset_source=STRING, dataset_url=STRING, skills=STRINGS, difficulty=STRING, estimated_hours=INT,
+    description=STRING, key_tasks=STRINGS, resume_bullets=STRINGS,
 )
 
-RUN_LOG = T.StructType.fromDDL(
-    """run_id STRING, started_at TIMESTAMP, completed_at TIMESTAMP, status STRING,
-    jobs_found BIGINT, jobs_validated BIGINT, jobs_rejected BIGINT, metadata STRING"""
+STORED_KEYS = struct(source=STRING, external_id=STRING)
+
+STORED_COMPANIES = struct(normalized_name=STRING, name=STRING, first_seq=LONG)
+
+RUN_LOG = struct(
+    run_id=STRING, started_at=TIME, completed_at=TIME, status=STRING, jobs_found=LONG,
+    jobs_validated=LONG, jobs_rejected=LONG, metadata=STRING,
 )
 
 # Values a posting takes when a board does not state the field.

@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from hirescope.config import Config, Profile
+from hirescope.session import spread
 
 AS_OF = datetime(2024, 1, 10, tzinfo=timezone.utc)
 AS_OF_MICROS = 1704844800000000
@@ -118,6 +119,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_postings(table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same postings for queries that scan the texts: small inputs are spread over the cores."""
+    return as_postings(spread(table(spark, sf_dir, "documents")))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").selectExpr(*[f"{spark_rule(r)} AS {c}" for c, r in USER_RULES.items()])
     return rows.selectExpr("user_id", "split(skills_text, '[|]') AS skills", "experience_years")
