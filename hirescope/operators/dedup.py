@@ -49,16 +49,14 @@ def _without(live: DataFrame, kept: DataFrame, key: str, hot: DataFrame | None)
 
 
 def _hot_keys(edges: DataFrame, key: str, hot_group: int) -> DataFrame | None:
-    hot = (
-        edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_group).select(key)
-    )
-    hot = materialize(hot, "hot-keys")
+    sizes = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_group).select(key)
     count = hot.count()
     if count == 0 or count > HOT_KEYS:
         # None, or too many to broadcast: then each is small against the whole and
         # the shuffled join (split by AQE where needed) is the right tool.
         return None
-    return hot
+    return materialize(hot, "hot-keys")
 
 
 def _scan_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,28 +85,23 @@ def greedy_kept(edges: DataFrame, hot_group: int = HOT_GROUP, tail_rows: int = T
     """
     # Of rows equal in both keys only the first can be kept.
     live = materialize(edges.groupBy("k", "f").agg(F.min("seq").alias("seq")), "dedup-edges")
-    hot = {key: _hot_keys(live, key, hot_group) for key in ("k", "f")}
+    remaining = live.count()
+    hot = {k: _hot_keys(live, k, hot_group) if remaining > tail_rows else None for k in ("k", "f")}
     rounds: list[DataFrame] = []
-    while True:
+    while remaining > tail_rows:
         # Group minima come from aggregates that combine before the shuffle; they
         # meet on seq, which is unique, so no hot key is ever joined here.
-        first_k = live.groupBy("k").agg(F.min("seq").alias("seq"))
+        first_k = live.groupBy("k").agg(F.min("seq").alias("seq"), F.min_by("f", "seq").alias("f"))
         first_f = live.groupBy("f").agg(F.min("seq").alias("seq"))
-        kept = materialize(first_k.join(first_f, "seq"), "dedup-kept")
+        kept = materialize(first_k.join(first_f.select("seq"), "seq", "left_semi"), "dedup-kept")
         rounds.append(kept.select("seq"))
         rest = _without(_without(live, kept, "k", hot["k"]), kept, "f", hot["f"])
         live = materialize(rest, "dedup-rest")
         remaining = live.count()
-        if remaining == 0:
-            break
-        if remaining <= tail_rows:
-            tail = (
-                live.repartition(1)
-                .sortWithinPartitions("seq")
-                .mapInPandas(_scan_in_order, T.StructType([T.StructField("seq", T.LongType())]))
-            )
-            rounds.append(materialize(tail, "dedup-tail"))
-            break
+    if remaining or not rounds:
+        schema = T.StructType([T.StructField("seq", T.LongType())])
+        tail = live.repartition(1).sortWithinPartitions("seq").mapInPandas(_scan_in_order, schema)
+        rounds.append(materialize(tail, "dedup-tail"))
     result = rounds[0]
     for more in rounds[1:]:
         result = result.unionByName(more)

@@ -11,6 +11,7 @@ from hirescope.catalog import catalog_categories
 from hirescope.config import Profile
 from hirescope.functions.numbers import round_even
 from hirescope.functions.text import blank_if_null, contains_any, lookup
+from hirescope.session import materialize
 
 
 def string_array(values: tuple[str, ...]) -> Column:
@@ -161,3 +162,190 @@ def recommend_projects(
         F.desc("market_demand_score"), F.asc("category_rank"), F.asc("catalog_order")
     )
     return annotated.withColumn("rank", F.row_number().over(order))
+
+
+# --- many users --------------------------------------------------------------------------
+
+# Highest boost a posting can get on top of its base score.
+_MAX_BOOST = 0.15
+# Base-score levels searched one after the other; a user stops at the first level
+# below which nothing can reach their k-th score any more.
+_LEVELS = (0.84, 0.5, 0.25)
+# Postings looked at per step when a user runs out of postings with a shared skill.
+_CHUNK = 10_000
+_SALTS = 32
+
+
+def _user_classes(users: DataFrame, vocabulary: Column) -> DataFrame:
+    """``users`` with a class: same known skills and same side of the 3-year line, same matches."""
+    known = F.array_sort(
+        F.array_intersect(F.array_distinct(F.transform("skills", F.lower)), vocabulary)
+    )
+    return (
+        users.withColumn("_known", known)
+        .withColumn("_junior", F.coalesce(F.col("experience_years"), F.lit(0)) <= 3)
+        .withColumn("class_id", F.md5(F.concat_ws("|", F.col("_junior").cast("string"), F.array_join("_known", "|"))))
+    )
+
+
+def _representatives(postings: DataFrame, k: int) -> DataFrame:
+    """First k postings of every (skills, junior, visa) group; later ones of a group can never be
+    in a top k. The bound on the rank lets every task drop all but k rows of a group before the
+    shuffle, however large the group is."""
+    described = postings.select(
+        "ingest_seq",
+        F.array_sort(F.array_distinct("skill_names")).alias("skill_names"),
+        is_entry_posting(F.col("experience_level")).alias("entry"),
+        F.coalesce("visa_sponsorship", F.lit(False)).alias("visa"),
+    ).withColumn("group_id", F.md5(F.concat_ws("|", F.col("entry").cast("string"), F.col("visa").cast("string"), F.array_join("skill_names", "|"))))
+    first = Window.partitionBy("group_id").orderBy("ingest_seq")
+    return described.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+
+
+def _percent(base: Column, entry: Column, junior: Column, visa: Column) -> Column:
+    return round_even(boosted(base, entry, junior, visa) * 100, 1)
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("class_id").orderBy(F.desc("match_score"), F.asc("ingest_seq"))
+    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _shared_skill_candidates(classes: DataFrame, groups: DataFrame, level: float, below: float | None) -> DataFrame:
+    """(class, group) pairs with a base score in [level, below).
+
+    A posting with n skills reaches the level only with ceil(level * n) shared
+    skills, so one of its n - ceil(level * n) + 1 rarest skills must be shared.
+    Only those are joined on, and a pair is formed at the first of them that is
+    shared, so it appears once. Common skills are the rarest skill of few
+    postings, which keeps them from pairing everyone with everything.
+    """
+    size = F.size("by_rarity")
+    needed = F.greatest(F.ceil(size * F.lit(level) - F.lit(1e-9)).cast("int"), F.lit(1))
+    probe = groups.withColumn("_prefix", F.slice("by_rarity", F.lit(1), size - needed + 1))
+    # Few distinct skills: without a salt a join on skill would use as many tasks.
+    probe = probe.withColumn("_salt", F.pmod(F.xxhash64("group_id"), F.lit(_SALTS)).cast("int"))
+    probe = probe.select("*", F.explode("_prefix").alias("skill"))
+    salted = classes.select(
+        "class_id", "_known", F.explode("_known").alias("skill")
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    shared_prefix = F.filter("_prefix", lambda s: F.array_contains("_known", s))
+    base = F.size(F.array_intersect("by_rarity", F.col("_known"))) / size
+    pairs = (
+        probe.join(salted, ["skill", "_salt"])
+        .where(F.element_at(shared_prefix, 1) == F.col("skill"))
+        .withColumn("base", base)
+        .where(F.col("base") >= level)
+    )
+    if below is not None:
+        pairs = pairs.where(F.col("base") < below)
+    return pairs.select("class_id", "group_id", "base")
+
+
+def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
+    """Best k postings of every user: (user_id, ingest_seq, match_score, rank).
+
+    Exact, ties by arrival. Users with the same known skills share a class and
+    postings with the same skills and boosts share a group, so only distinct
+    classes meet distinct groups, level by level from the highest scores down.
+    """
+    members = materialize(_representatives(postings, k), "rec-members")
+    # At most one row per term of the taxonomy.
+    rarity = members.select("group_id", F.explode("skill_names").alias("skill")).distinct().groupBy("skill").count()
+    ordered = rarity.agg(F.array_sort(F.collect_list(F.struct("count", "skill"))).alias("o"))
+    order = [r["skill"] for r in (ordered.first()["o"] or [])]
+    vocabulary = string_array(tuple(order))
+    tagged = materialize(_user_classes(users, vocabulary).select("user_id", "class_id", "_known", "_junior"), "rec-users")
+    classes = materialize(
+        tagged.groupBy("class_id").agg(F.first("_known").alias("_known"), F.first("_junior").alias("_junior")),
+        "rec-classes",
+    )
+    groups = members.groupBy("group_id", "skill_names", "entry", "visa").agg(
+        F.array_sort(F.collect_list("ingest_seq")).alias("seqs")  # at most k
+    )
+    groups = groups.withColumn("by_rarity", F.array_intersect(vocabulary, F.col("skill_names")))
+    groups = materialize(groups, "rec-groups")
+    with_skills = groups.where(F.size("skill_names") > 0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(groups.select("group_id", "entry", "visa", "seqs"), "group_id")
+            .join(classes.select("class_id", "_junior"), "class_id")
+            .select(
+                "class_id",
+                F.explode("seqs").alias("ingest_seq"),
+                _percent(F.col("base"), F.col("entry"), F.col("_junior"), F.col("visa")).alias("match_score"),
+            )
+        )
+
+    # Postings without skills score the same for every class of one kind: at most 4 groups of k.
+    blank = groups.where(F.size("skill_names") == 0).select(
+        F.explode("seqs").alias("ingest_seq"), "entry", "visa"
+    )
+    blank = blank.agg(F.collect_list(F.struct("ingest_seq", "entry", "visa"))).scalar()
+    blanks = classes.select("class_id", "_junior", F.explode(blank).alias("p")).select(
+        "class_id", F.col("p.ingest_seq").alias("ingest_seq"),
+        _percent(F.lit(0.5), F.col("p.entry"), F.col("_junior"), F.col("p.visa")).alias("match_score"),
+    )
+    best = materialize(_best(blanks, k).drop("rank"), "rec-best")
+
+    open_classes = classes
+    below = None
+    for level in (*_LEVELS, 0.0):
+        pairs = _shared_skill_candidates(open_classes, with_skills, level, below)
+        best = materialize(_best(best.unionByName(scored(pairs)), k).drop("rank"), "rec-best")
+        # Nothing below the level can get past this score.
+        bound = (min(level + _MAX_BOOST, 1.0)) * 100
+        done = (
+            best.where(F.col("match_score") > F.lit(round(bound, 1)))
+            .groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        )
+        open_classes = materialize(open_classes.join(done.select("class_id"), "class_id", "left_anti"), "rec-open")
+        below = level
+        if open_classes.isEmpty():
+            break
+    else:
+        best = materialize(_fill_without_overlap(open_classes, members, best, k), "rec-best")
+    return tagged.select("user_id", "class_id").join(_best(best, k), "class_id").select(
+        "user_id", "ingest_seq", "match_score", "rank"
+    )
+
+
+def _fill_without_overlap(open_classes: DataFrame, members: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Adds the best postings that share no skill, for classes that still have room.
+
+    Such a posting scores by its boosts alone, so per kind (junior, visa) the
+    first k in order of arrival are enough. The list of each kind is walked in
+    chunks until every class has k or the list ends.
+    """
+    listed = members.where(F.size("skill_names") > 0)
+    by_kind = Window.partitionBy("entry", "visa").orderBy("ingest_seq")
+    listed = materialize(listed.withColumn("_n", F.row_number().over(by_kind)), "rec-listed")
+    longest = listed.agg(F.max("_n")).first()[0] or 0
+    found = [best]
+    for kind_entry in (True, False):
+        for kind_visa in (True, False):
+            kind = listed.where((F.col("entry") == kind_entry) & (F.col("visa") == kind_visa))
+            waiting, start = open_classes.withColumn("_have", F.lit(0)), 0
+            while start < longest:
+                chunk = kind.where(F.col("_n").between(start + 1, start + _CHUNK))
+                entries = chunk.agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "skill_names")))).scalar()
+                free = F.filter("_entries", lambda p: ~F.arrays_overlap(p["skill_names"], F.col("_known")))
+                step = waiting.withColumn("_entries", entries).withColumn(
+                    "_free", F.slice(F.transform(free, lambda p: p["ingest_seq"]), 1, k)
+                ).drop("_entries")
+                step = materialize(step, "rec-fill")
+                found.append(
+                    step.select(
+                        "class_id", F.explode("_free").alias("ingest_seq"),
+                        _percent(F.lit(0.0), F.lit(kind_entry), F.col("_junior"), F.lit(kind_visa)).alias("match_score"),
+                    )
+                )
+                waiting = step.withColumn("_have", F.col("_have") + F.size("_free")).where(F.col("_have") < k).drop("_free")
+                start += _CHUNK
+                if start >= longest or waiting.isEmpty():
+                    break
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return _best(result, k).drop("rank")

@@ -165,25 +165,17 @@ def validated(source: str, name: str = "checked") -> list[str]:
 # --- skills -----------------------------------------------------------------------------
 
 ALL_SKILLS = tuple(dict.fromkeys(fv.TECHNICAL_SKILLS + fv.SOFT_SKILLS + fv.BUSINESS_SKILLS))
-_W = r"[\p{L}\p{N}_]"
 _NW = r"[^\p{L}\p{N}_]"
+_MARK = chr(1)
 
 
-def _escaped(term: str) -> str:
-    return "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in term)
+def _marked(term: str) -> str:
+    """A term as it reads in a text where both sides of every separator carry a mark."""
+    return _MARK + "".join(c if c.isalnum() or c == "_" else _MARK + c + _MARK for c in term)
 
 
-def _term_pattern(term: str) -> str:
-    """Whole-word pattern for a text in which every character between words is doubled.
-
-    RE2 has no look-around, so a match takes one neighbour on each side.
-    """
-    end = f"(?:{_NW}|$)" if term[-1].isalnum() else _W
-    return f"(?:^|{_NW}){_escaped(_double(term))}{end}"
-
-
-def _double(term: str) -> str:
-    return "".join(c if c.isalnum() or c == "_" else c + c for c in term)
+def _needle(term: str) -> str:
+    return _marked(term) + (_MARK if term[-1].isalnum() else "")
 
 
 def _category(skill: str) -> str:
@@ -192,23 +184,31 @@ def _category(skill: str) -> str:
     return "technical" if skill in fv.TECHNICAL_SKILLS else "business" if skill in fv.BUSINESS_SKILLS else "soft"
 
 
-TERMS = "terms(skill, category, pattern) AS (VALUES " + ", ".join(
-    f"({lit(s)}, {lit(_category(s))}, {lit('(?i)' + _term_pattern(s))})" for s in ALL_SKILLS
+# needle: what to count; not_after: occurrences to take off again (a term that ends
+# in a symbol only counts when a word character follows).
+TERMS = "terms(skill, category, needle, not_after) AS (VALUES " + ", ".join(
+    f"({lit(s)}, {lit(_category(s))}, replace({lit(_needle(s).replace(_MARK, '~'))}, '~', chr(1)), "
+    + ("NULL" if s[-1].isalnum() else f"replace({lit((_needle(s) + _MARK).replace(_MARK, '~'))}, '~', chr(1))") + ")"
+    for s in ALL_SKILLS
 ) + ")"
 
 
+def _occurrences(text: str, needle: str) -> str:
+    return f"(length({text}) - length(replace({text}, {needle}, ''))) // length({needle})"
+
+
 def skills(source: str, name: str = "hits", text: str = "title || ' ' || coalesce(description, '')") -> list[str]:
-    """One row per (posting, skill): every term against every text, with its own pattern."""
+    """One row per (posting, skill): every term is searched in every text and counted on its own."""
     required = " OR ".join(
         f"(strpos(ln, {lit(m)}) > 0 AND contains(substr(ln, strpos(ln, {lit(m)}) + {len(m)}), c.skill))"
         for m in fv.REQUIRED_MARKERS
     )
     return [
         TERMS,
-        f"{name}_t AS (SELECT *, lower({text}) AS low, regexp_replace({text}, '({_NW})', '\\1\\1', 'g') AS wide FROM {source})",
-        f"{name}_c AS (SELECT p.*, t.skill, t.category, t.pattern FROM {name}_t p JOIN terms t ON contains(p.low, t.skill))",
-        f"{name}_n AS (SELECT c.* , len(regexp_extract_all(wide, pattern)) AS n_hits FROM {name}_c c)",
-        f"{name} AS (SELECT c.* EXCLUDE (wide, pattern, low), "
+        f"{name}_t AS (SELECT *, lower({text}) AS low, chr(1) || regexp_replace(lower({text}), '({_NW})', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS wide FROM {source})",
+        f"{name}_c AS (SELECT p.*, t.skill, t.category, t.needle, t.not_after FROM {name}_t p JOIN terms t ON contains(p.wide, t.needle))",
+        f"{name}_n AS (SELECT c.*, {_occurrences('wide', 'needle')} - coalesce({_occurrences('wide', 'not_after')}, 0) AS n_hits FROM {name}_c c)",
+        f"{name} AS (SELECT c.* EXCLUDE (wide, needle, not_after, low), "
         f"len(list_filter(string_split(low, chr(10)), lambda ln: {required})) > 0 AS is_required FROM {name}_n c WHERE n_hits > 0)",
     ]
 

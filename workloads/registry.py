@@ -34,5 +34,5 @@ def seconds(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-def joined(c: str, alias: str | None = None) -> Column:
+def joined(c: str | Column, alias: str | None = None) -> Column:
     return F.array_join(c, "|").alias(alias or c)
