@@ -141,9 +141,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SEQ = "CAST(ingest_seq AS {text})"
 _ISO = (
-    "CASE ingest_seq % 6 WHEN 0 THEN '2024-01-0' || CAST(1 + ingest_seq % 9 AS {text}) "
+    "CASE ingest_seq % 7 WHEN 0 THEN '2024-01-0' || CAST(1 + ingest_seq % 9 AS {text}) "
     "WHEN 1 THEN '2024-01-05T08:30:00Z' WHEN 2 THEN '2024-01-05T08:30:15+02:00' "
-    "WHEN 3 THEN 'not a date' WHEN 4 THEN '2024-01-06T23:59:59.250' ELSE '' END"
+    "WHEN 3 THEN 'not a date' WHEN 4 THEN '2024-01-06T23:59:59.250' WHEN 5 THEN '2023-11-20T06:00:00Z' ELSE '' END"
 )
 _BOARD = "CASE ingest_seq % 3 WHEN 0 THEN 'stripe' WHEN 1 THEN 'booking-holding' ELSE 'data dog' END"
 _CODE = "CASE ingest_seq % 4 WHEN 0 THEN 'gb' WHEN 1 THEN 'us' WHEN 2 THEN 'de' ELSE 'xx' END"
