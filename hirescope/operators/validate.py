@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from hirescope.config import Config
 from hirescope.functions.dates import as_timestamp
 from hirescope.functions.numbers import round_even
-from hirescope.functions.text import blank_if_null, count_contained
+from hirescope.functions.text import blank_if_null, count_contained, mentions_any
 
 
 def _joined(first: str, second: str) -> Column:
@@ -62,7 +64,7 @@ def completeness() -> Column:
 
 
 def staffing_flag(cfg: Config) -> Column:
-    return count_contained(_joined("company", "description"), cfg.staffing_phrases) > 0
+    return mentions_any(_joined("company", "description"), cfg.staffing_phrases)
 
 
 def score_postings(df: DataFrame, cfg: Config) -> DataFrame:
@@ -79,7 +81,12 @@ def score_postings(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def validate_postings(df: DataFrame, cfg: Config) -> DataFrame:
-    """Adds ``is_valid``, ``validation_score`` and ``reasons``; valid means no reason at all."""
+    """Adds ``is_valid``, ``validation_score`` and ``reasons``.
+
+    Valid means no reason at all: the score is 1.0 then, so its own limit of 0.5
+    never decides. ``is_valid`` names each component once, because Spark copies a
+    filter's expressions down to the scan and would repeat the work otherwise.
+    """
     scam, url = F.col("scam_score"), F.col("url_score")
     fresh, complete = F.col("freshness_score"), F.col("completeness")
     checks = (
@@ -92,19 +99,14 @@ def validate_postings(df: DataFrame, cfg: Config) -> DataFrame:
     score = F.lit(1.0)
     for _, failed, change in checks:
         score = score + F.when(failed, change).otherwise(0.0)
+    spotless = reduce(and_, [~failed for _, failed, _ in checks])
     reasons = F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed, _ in checks]))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     components = ("scam_score", "url_score", "freshness_score", "completeness", "is_staffing")
     return (
         score_postings(df, cfg)
-        .withColumns({"reasons": reasons, "_score": clamped})
-        .withColumns(
-            {
-                "is_valid": (F.col("_score") >= 0.5) & (F.size("reasons") == 0),
-                "validation_score": round_even(F.col("_score"), 3),
-            }
-        )
-        .drop("_score", *components)
+        .withColumns({"reasons": reasons, "validation_score": round_even(clamped, 3), "is_valid": spotless})
+        .drop(*components)
     )
 
 
@@ -119,8 +121,8 @@ def rejected(validated: DataFrame) -> DataFrame:
 def rejection_report(validated: DataFrame) -> DataFrame:
     """How many postings each reason hit; a posting can count under several."""
     return (
-        rejected(validated)
-        .select(F.explode("reasons").alias("reason"))
+        validated.select(F.explode_outer("reasons").alias("reason"))
+        .where(F.col("reason").isNotNull())
         .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n"))
     )
