@@ -31,13 +31,16 @@ _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    flat(df).write.mode("overwrite").options(**_CSV, emptyValue='""').csv(path)
+    flat(df).write.mode("overwrite").options(**_CSV).csv(path)
     return path
 
 
 def read_csv(spark, path: str, schema: T.StructType) -> DataFrame:
-    """Reads back what :func:`export_csv` wrote; texts may hold line breaks."""
-    return spark.read.options(**_CSV, multiLine=True, emptyValue="").schema(schema).csv(path)
+    """Reads back what :func:`export_csv` wrote; texts may hold line breaks.
+
+    CSV does not tell an empty text from a missing one: both come back as null.
+    """
+    return spark.read.options(**_CSV, multiLine=True).schema(schema).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> str:
