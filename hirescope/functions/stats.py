@@ -28,6 +28,16 @@ def top_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[C
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def first_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value, order) of the row that comes first per key.
+
+    Rows are first reduced to distinct (key, value) pairs with a hash aggregate
+    that combines on the map side; only those few pairs are then compared.
+    """
+    spelled = df.groupBy(key, value).agg(F.min(order).alias(order))
+    return spelled.groupBy(key).agg(F.min_by(value, order).alias(value), F.min(order).alias(order))
+
+
 def int_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Mean, exact median, smallest and largest of an INT column per group.
 

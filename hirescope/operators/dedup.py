@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirescope.functions.stats import first_value
 from hirescope.functions.text import blank_if_null, fingerprint, strip
 from hirescope.session import materialize
 
@@ -91,9 +92,9 @@ def greedy_kept(edges: DataFrame, hot_group: int = HOT_GROUP, tail_rows: int = T
     while remaining > tail_rows:
         # Group minima come from aggregates that combine before the shuffle; they
         # meet on seq, which is unique, so no hot key is ever joined here.
-        first_k = live.groupBy("k").agg(F.min("seq").alias("seq"), F.min_by("f", "seq").alias("f"))
+        first_k = live.groupBy("k").agg(F.min("seq").alias("seq"))
         first_f = live.groupBy("f").agg(F.min("seq").alias("seq"))
-        kept = materialize(first_k.join(first_f.select("seq"), "seq", "left_semi"), "dedup-kept")
+        kept = materialize(first_k.join(first_f, "seq"), "dedup-kept")
         rounds.append(kept.select("seq"))
         rest = _without(_without(live, kept, "k", hot["k"]), kept, "f", hot["f"])
         live = materialize(rest, "dedup-rest")
@@ -127,20 +128,18 @@ def company_upsert(postings: DataFrame, stored: DataFrame) -> DataFrame:
     The first spelling of a name wins; stored spellings stay; postings without a
     company add nothing.
     """
-    key = strip(F.lower(F.col("company")))
-    new = (
-        postings.where(blank_if_null(F.col("company")) != "")
-        .groupBy(key.alias("normalized_name"))
-        .agg(F.min_by("company", "ingest_seq").alias("name"), F.min("ingest_seq").alias("first_seq"))
-        .join(stored.select("normalized_name"), "normalized_name", "left_anti")
+    named = postings.where(blank_if_null(F.col("company")) != "").select(
+        strip(F.lower(F.col("company"))).alias("normalized_name"),
+        F.col("company").alias("name"),
+        F.col("ingest_seq").alias("first_seq"),
+    )
+    new = first_value(named, "normalized_name", "name", "first_seq").join(
+        stored.select("normalized_name"), "normalized_name", "left_anti"
     )
     return stored.select("normalized_name", "name", "first_seq").unionByName(new)
 
 
 def distinct_terms(df: DataFrame, term: str, order: str) -> DataFrame:
     """First spelling per case-insensitive term, in order of first appearance."""
-    return (
-        df.groupBy(F.lower(F.col(term)).alias("_key"))
-        .agg(F.min_by(term, order).alias(term), F.min(order).alias(order))
-        .drop("_key")
-    )
+    keyed = df.select(F.lower(F.col(term)).alias("_key"), term, order)
+    return first_value(keyed, "_key", term, order).drop("_key")

@@ -117,14 +117,12 @@ def rec_categories(postings: DataFrame, profile: Profile, explicit: str | None =
         .groupBy("role_category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # A global sum always has one row, so "no posting has a category" is seen there.
-    fallback = (
-        counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        .where(F.col("n") == 0)
-        .select(F.lit("analytics").alias("role_category"), "n")
-    )
+    # The fallback joins in with a count of 0: it leads only if nothing else is there.
+    fallback = spark.createDataFrame([("analytics", 0)], "role_category STRING, n BIGINT")
+    totals = counts.unionByName(fallback).groupBy("role_category").agg(F.sum("n").alias("n"))
     order = Window.partitionBy().orderBy(F.desc("n"), F.asc("role_category"))
-    return counts.unionByName(fallback).select("role_category", F.row_number().over(order).alias("category_rank"))
+    ranked = totals.withColumn("category_rank", F.row_number().over(order))
+    return ranked.where((F.col("n") > 0) | (F.col("category_rank") == 1)).select("role_category", "category_rank")
 
 
 def project_demand(projects: DataFrame, demand: DataFrame) -> DataFrame:
@@ -156,7 +154,8 @@ def recommend_projects(
     projects: DataFrame, postings: DataFrame, demand: DataFrame, profile: Profile, explicit: str | None = None
 ) -> DataFrame:
     """Projects of the chosen categories, most wanted first; ``rank`` 1 to 8 is what a report shows."""
-    categories = rec_categories(postings, profile, explicit)
+    # A handful of rows that two joins below read.
+    categories = materialize(rec_categories(postings, profile, explicit), "rec-categories")
     annotated = project_annotate(projects.join(categories, "role_category"), demand, profile)
     order = Window.partitionBy().orderBy(
         F.desc("market_demand_score"), F.asc("category_rank"), F.asc("catalog_order")
@@ -176,11 +175,9 @@ _CHUNK = 10_000
 _SALTS = 32
 
 
-def _user_classes(users: DataFrame, vocabulary: Column) -> DataFrame:
-    """``users`` with a class: same known skills and same side of the 3-year line, same matches."""
-    known = F.array_sort(
-        F.array_intersect(F.array_distinct(F.transform("skills", F.lower)), vocabulary)
-    )
+def _user_classes(users: DataFrame) -> DataFrame:
+    """``users`` with a class: same skills and same side of the 3-year line, same matches."""
+    known = F.array_sort(F.array_distinct(F.transform("skills", F.lower)))
     return (
         users.withColumn("_known", known)
         .withColumn("_junior", F.coalesce(F.col("experience_years"), F.lit(0)) <= 3)
@@ -202,6 +199,21 @@ def _representatives(postings: DataFrame, k: int) -> DataFrame:
     return described.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
 
 
+def _by_rarity(groups: DataFrame) -> DataFrame:
+    """Adds ``by_rarity``: a group's skills, those that the fewest groups ask for first."""
+    asked = groups.select("group_id", F.explode("skill_names").alias("skill"))
+    rarity = asked.groupBy("skill").agg(F.count(F.lit(1)).alias("n_groups"))
+    ordered = (
+        asked.join(rarity, "skill")
+        .groupBy("group_id")
+        .agg(F.array_sort(F.collect_list(F.struct("n_groups", "skill"))).alias("_o"))
+        .select("group_id", F.transform("_o", lambda o: o["skill"]).alias("by_rarity"))
+    )
+    return groups.join(ordered, "group_id", "left").withColumn(
+        "by_rarity", F.coalesce("by_rarity", F.array().cast("array<string>"))
+    )
+
+
 def _percent(base: Column, entry: Column, junior: Column, visa: Column) -> Column:
     return round_even(boosted(base, entry, junior, visa) * 100, 1)
 
@@ -250,12 +262,7 @@ def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataF
     classes meet distinct groups, level by level from the highest scores down.
     """
     members = materialize(_representatives(postings, k), "rec-members")
-    # At most one row per term of the taxonomy.
-    rarity = members.select("group_id", F.explode("skill_names").alias("skill")).distinct().groupBy("skill").count()
-    ordered = rarity.agg(F.array_sort(F.collect_list(F.struct("count", "skill"))).alias("o"))
-    order = [r["skill"] for r in (ordered.first()["o"] or [])]
-    vocabulary = string_array(tuple(order))
-    tagged = materialize(_user_classes(users, vocabulary).select("user_id", "class_id", "_known", "_junior"), "rec-users")
+    tagged = materialize(_user_classes(users).select("user_id", "class_id", "_known", "_junior"), "rec-users")
     classes = materialize(
         tagged.groupBy("class_id").agg(F.first("_known").alias("_known"), F.first("_junior").alias("_junior")),
         "rec-classes",
@@ -263,8 +270,7 @@ def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataF
     groups = members.groupBy("group_id", "skill_names", "entry", "visa").agg(
         F.array_sort(F.collect_list("ingest_seq")).alias("seqs")  # at most k
     )
-    groups = groups.withColumn("by_rarity", F.array_intersect(vocabulary, F.col("skill_names")))
-    groups = materialize(groups, "rec-groups")
+    groups = materialize(_by_rarity(groups), "rec-groups")
     with_skills = groups.where(F.size("skill_names") > 0)
 
     def scored(pairs: DataFrame) -> DataFrame:

@@ -43,12 +43,13 @@ def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config) -> dict[str
     stored_companies = read_table(spark, companies_path, STORED_COMPANIES, skip_run=run_id)
     jobs = store_rows(batch, stored_jobs, cfg)
     jobs.write.mode("overwrite").partitionBy("posting_month").parquet(f"{jobs_path}/run_id={run_id}")
-    written = spark.read.parquet(f"{jobs_path}/run_id={run_id}")
+    written = spark.read.schema(jobs.schema).parquet(f"{jobs_path}/run_id={run_id}")
     added = company_upsert(written, stored_companies).join(
         stored_companies.select("normalized_name"), "normalized_name", "left_anti"
     )
     added.write.mode("overwrite").parquet(f"{companies_path}/run_id={run_id}")
-    return {"jobs": written, "companies": spark.read.parquet(f"{companies_path}/run_id={run_id}")}
+    companies = spark.read.schema(added.schema).parquet(f"{companies_path}/run_id={run_id}")
+    return {"jobs": written, "companies": companies}
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, skip_run: str | None = None) -> DataFrame:

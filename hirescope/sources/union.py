@@ -80,9 +80,7 @@ def dedup_and_cap(postings: DataFrame, cfg: Config) -> DataFrame:
     ranking, so a board holding most of the rows costs nothing there.
     """
     keyed = postings.withColumn("fingerprint", fingerprint(F.col("source"), F.col("external_id")))
-    firsts = keyed.groupBy("fingerprint").agg(
-        F.min("ingest_seq").alias("ingest_seq"), F.first("source").alias("source")
-    )
+    firsts = keyed.groupBy("fingerprint", "source").agg(F.min("ingest_seq").alias("ingest_seq"))
     capped_sources = list(cfg.source_caps)
     largest = max(cfg.source_caps.values(), default=0)
     limits = F.create_map(*[F.lit(x) for pair in cfg.source_caps.items() for x in pair])

@@ -696,7 +696,15 @@ def _row_counts(spark, paths: dict[str, str], label: str) -> DataFrame:
     return result
 
 
-@register("export_all")
+@register(
+    "export_all",
+    O.query(
+        *_GOOD, "SELECT 'sheet_Jobs' AS output, count(*) AS n FROM good UNION ALL SELECT 'sheet_Analytics_Summary', 5 "
+        "UNION ALL SELECT 'sheet_Top_Skills', least(count(DISTINCT skill), 20) FROM hits "
+        "UNION ALL SELECT 'sheet_Country_Distribution', least(count(DISTINCT country), 15) FROM good "
+        "UNION ALL SELECT 'sheet_Recommendations', least(count(*), 20) FROM good",
+    ),
+)
 def _(spark, sf):
     good, exploded = market(spark, sf)
     matches = rec.rank_matches(rec.match_jobs(good, I.PROFILE), 20)
