@@ -118,8 +118,12 @@ def dedup_postings(
         F.unhex(fingerprint(F.col("source"), F.col("external_id"))).alias("f"),
         F.col("ingest_seq").alias("seq"),
     )
-    kept = greedy_kept(edges, hot_group, tail_rows)
-    return df.join(kept.withColumnRenamed("seq", "ingest_seq"), "ingest_seq", "left_semi")
+    kept = greedy_kept(edges, hot_group, tail_rows).withColumnRenamed("seq", "ingest_seq")
+    # The dropped numbers are written first, so their size is known when the join
+    # below is planned: while it is under the session's broadcast limit the wide
+    # rows stay where they are, and only beyond it both sides are shuffled.
+    dropped = materialize(df.select("ingest_seq").join(kept, "ingest_seq", "left_anti"), "dedup-dropped")
+    return df.join(dropped, "ingest_seq", "left_anti")
 
 
 def company_upsert(postings: DataFrame, stored: DataFrame) -> DataFrame:
