@@ -83,7 +83,6 @@ def _remoteok(p: Column, context: Column, cfg: Config) -> Column:
             salary_max=nonzero(high),
             experience_level=graded_level_from_title(p["position"]),
             posting_date=parse_iso(p["date"]),
-            raw_data=F.to_json(p),
         ),
     )
 
@@ -121,7 +120,6 @@ def _remotive(p: Column, context: Column, cfg: Config) -> Column:
             salary_currency=pay["salary_currency"],
             experience_level=level_from_title(p["title"], "remotive"),
             posting_date=parse_iso(p["publication_date"]),
-            raw_data=F.to_json(p),
         ),
     )
 
@@ -290,7 +288,6 @@ def _adzuna(p: Column, code: Column, cfg: Config) -> Column:
             salary_currency=F.when(code == "gb", "GBP").otherwise("EUR"),
             experience_level=level_from_title(p["title"], "adzuna"),
             posting_date=parse_iso(p["created"]),
-            raw_data=F.to_json(p),
         ),
     )
 
@@ -329,7 +326,6 @@ def _eu_startup(p: Column, context: Column, cfg: Config) -> Column:
             remote_type=F.when(remote, "remote").otherwise("hybrid"),
             experience_level=level_from_title(p["title"], "eu_startup_jobs"),
             posting_date=parse_iso(text_or(p["created_at"], p["published_at"])),
-            raw_data=F.to_json(p),
         ),
     )
 
@@ -378,7 +374,6 @@ def _wttj(p: Column, context: Column, cfg: Config) -> Column:
             employment_type=text_or(p["contract_type"], "unknown"),
             experience_level=F.when(p["experience_level_minimum"] >= 4, "Senior").otherwise("Entry-Level"),
             posting_date=parse_iso(p["published_at"]),
-            raw_data=F.to_json(p),
         ),
     )
 
@@ -411,7 +406,6 @@ def _workday(p: Column, company: Column, cfg: Config) -> Column:
             country=text_or(p["locationsText"], blank_if_null(p["location"])),
             experience_level=level_from_title(title, "workday"),
             posting_date=parse_iso(text_or(p["postedOn"], p["startDate"])),
-            raw_data=F.to_json(p),
         ),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hirescope.config import Config
 from hirescope.functions.stats import top_per_group
 from hirescope.functions.text import fingerprint
+from hirescope.schemas import POSTING_FIELDS
 from hirescope.sources.registry import SOURCES, Source
 
 
@@ -23,15 +24,22 @@ def _arrival(position: Column) -> Column:
     return (F.shiftleft(F.col("ingest_seq"), RECORD_BITS) + checked).alias("ingest_seq")
 
 
+def _flat() -> list[Column]:
+    """Posting fields; where a board sets no raw data of its own, that is the payload as it came."""
+    own = F.col("posting.raw_data")
+    fields = [F.col(f"posting.{n}").alias(n) for n in POSTING_FIELDS.names if n != "raw_data"]
+    return [*fields, F.coalesce(own, F.col("payload")).alias("raw_data"), F.col("ingest_seq")]
+
+
 def map_source(landing: DataFrame, source: str | Source, cfg: Config) -> DataFrame:
     """Postings of one board. Reads only that board's folder if landing is partitioned by source."""
     board = SOURCES[source] if isinstance(source, str) else source
     return (
         landing.where(F.col("source") == board.name)
-        .select("ingest_seq", "context", F.posexplode_outer(board.records(F.col("payload"))).alias("pos", "record"))
-        .select(_arrival(F.col("pos")), board.posting(F.col("record"), F.col("context"), cfg).alias("posting"))
+        .select("ingest_seq", "context", "payload", F.posexplode_outer(board.records(F.col("payload"))).alias("pos", "record"))
+        .select(_arrival(F.col("pos")), "payload", board.posting(F.col("record"), F.col("context"), cfg).alias("posting"))
         .where(F.col("posting").isNotNull())
-        .select("posting.*", "ingest_seq")
+        .select(*_flat())
     )
 
 
@@ -59,10 +67,10 @@ def union_sources(landing: DataFrame, cfg: Config, boards: list[str] | None = No
     chosen = [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
     return (
         _tagged(landing, cfg, chosen)
-        .select("ingest_seq", F.posexplode_outer("postings").alias("pos", "posting"))
+        .select("ingest_seq", "payload", F.posexplode_outer("postings").alias("pos", "posting"))
         .where(F.col("posting").isNotNull())
-        .select(_arrival(F.col("pos")), "posting")
-        .select("posting.*", "ingest_seq")
+        .select(_arrival(F.col("pos")), "payload", "posting")
+        .select(*_flat())
     )
 
 

@@ -271,7 +271,7 @@ def landing_of(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
             f"{spark_rule(page)} AS payload", "page_id AS ingest_seq",
         )
     context, shape = PAYLOADS[board]
-    return postings(spark, sf_dir).selectExpr(
+    return texts(spark, sf_dir).selectExpr(
         f"'{board}' AS source", f"{spark_rule(context)} AS context",
         f"{spark_json(shape)} AS payload", "ingest_seq",
     )
@@ -294,4 +294,4 @@ def as_landing(raw: DataFrame) -> DataFrame:
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_landing(postings(spark, sf_dir))
+    return as_landing(texts(spark, sf_dir))
