@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from hirescope.functions.stats import first_value
 from hirescope.functions.text import blank_if_null, fingerprint, strip
-from hirescope.session import materialize
+from hirescope.session import keep_listed, materialize
 
 # A group above this many rows is "hot"; n rows hold at most n / HOT_GROUP hot groups.
 HOT_GROUP = 1_000_000
@@ -119,11 +119,7 @@ def dedup_postings(
         F.col("ingest_seq").alias("seq"),
     )
     kept = greedy_kept(edges, hot_group, tail_rows).withColumnRenamed("seq", "ingest_seq")
-    # The dropped numbers are written first, so their size is known when the join
-    # below is planned: while it is under the session's broadcast limit the wide
-    # rows stay where they are, and only beyond it both sides are shuffled.
-    dropped = materialize(df.select("ingest_seq").join(kept, "ingest_seq", "left_anti"), "dedup-dropped")
-    return df.join(dropped, "ingest_seq", "left_anti")
+    return keep_listed(df, kept, "ingest_seq", "dedup-dropped")
 
 
 def company_upsert(postings: DataFrame, stored: DataFrame) -> DataFrame:

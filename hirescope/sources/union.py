@@ -9,6 +9,7 @@ from hirescope.config import Config
 from hirescope.functions.stats import top_per_group
 from hirescope.functions.text import fingerprint
 from hirescope.schemas import POSTING_FIELDS
+from hirescope.session import keep_listed
 from hirescope.sources.registry import SOURCES, Source
 
 
@@ -97,5 +98,5 @@ def dedup_and_cap(postings: DataFrame, cfg: Config) -> DataFrame:
         ["source"], largest, [F.asc("ingest_seq"), F.asc("fingerprint")],
     ).where(F.col("rank") <= F.try_element_at(limits, F.col("source")))
     free = firsts.where(~F.col("source").isin(capped_sources))
-    kept = ranked.select("fingerprint", "ingest_seq").unionByName(free.select("fingerprint", "ingest_seq"))
-    return keyed.join(kept, ["fingerprint", "ingest_seq"], "left_semi")
+    kept = ranked.select("ingest_seq").unionByName(free.select("ingest_seq"))
+    return keep_listed(keyed, kept, "ingest_seq", "over-cap")

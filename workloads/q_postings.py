@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirescope.functions import dates, numbers, text
 from hirescope.operators import dedup, filters, lookups, normalize, store, validate
 from hirescope.plans import discovery
+from hirescope.session import materialize
 from hirescope.sources.json_boards import country_from_location, graded_level_from_title, level_from_title
 from workloads import inputs as I
 from workloads import oracle as O
@@ -416,8 +417,9 @@ def _(spark, sf):
 def _(spark, sf):
     parsed = normalize.parse_postings(I.texts(spark, sf), CFG)
     good = validate.accepted(validate.validate_postings(parsed, CFG))
-    slim = good.select("ingest_seq", "source", "external_id", "title", "company", "posting_date")
-    rows = store.store_rows(slim, stored_keys(spark, sf), CFG)
+    # As in a run: the validated batch is a table before it is compared with the stored keys.
+    batch = materialize(good, "store-batch")
+    rows = store.store_rows(batch, stored_keys(spark, sf), CFG)
     return rows.select("ingest_seq", "source", "external_id", "title", "company_key", "posting_month", "is_validated")
 
 
