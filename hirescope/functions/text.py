@@ -116,10 +116,18 @@ def first_contained(c: Column, choices: Mapping[str, Iterable[str]] | Iterable[t
     return F.coalesce(*[F.when(contains_any(c, words), F.lit(label)) for label, words in pairs])
 
 
+def literal_map(table: Mapping[str, str]) -> Column:
+    """A constant map. As one SQL expression it is built in one call, however many entries it has."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def lookup(c: Column, table: Mapping[str, str]) -> Column:
     """Value of ``c`` in a small literal map, null when absent."""
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.try_element_at(literal, c)
+    return F.try_element_at(literal_map(table), c)
 
 
 def title_case(c: Column) -> Column:

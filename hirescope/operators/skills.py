@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hirescope import fixed_values as fv
 from hirescope.config import Config
 from hirescope.functions.stats import top, top_per_group
-from hirescope.functions.text import WORD, blank_if_null, merged_pattern
+from hirescope.functions.text import WORD, blank_if_null, lookup, merged_pattern
 
 _WORD_CHAR = f"(?={WORD})"
 _NO_WORD_CHAR = f"(?!{WORD})"
@@ -71,9 +71,7 @@ def _with_mentions(df: DataFrame, cfg: Config) -> DataFrame:
 
 def category_column(skill: Column, cfg: Config) -> Column:
     """Category by override, else by the family the term belongs to; unknown terms are soft."""
-    table = {s: cfg.category_of(s) for s in cfg.skills}
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.try_element_at(literal, skill), F.lit("soft"))
+    return F.coalesce(lookup(skill, {s: cfg.category_of(s) for s in cfg.skills}), F.lit("soft"))
 
 
 def taxonomy(spark: SparkSession, cfg: Config) -> DataFrame:
