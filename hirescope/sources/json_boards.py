@@ -65,7 +65,8 @@ def _remoteok(p: Column, context: Column, cfg: Config) -> Column:
     readable = F.lit(True)
     for amount in (low, high):  # an unreadable salary voids the whole record
         readable = readable & (~filled(amount) | whole_number(amount).isNotNull())
-    onsite = p["remote"].isNotNull() & ~truthy(p["remote"])
+    # As a variant the field tells an explicit null (no) from a missing one (yes).
+    onsite = p["remote"].isNotNull() & ~truthy(F.try_variant_get(p["remote"], "$", "string"))
     return kept_if(
         p["id"].isNotNull() & filled(p["position"]) & filled(p["company"]) & readable,
         posting_struct(
@@ -91,7 +92,7 @@ register(
     Source(
         "remoteok",
         one_record(
-            "id STRING, position STRING, company STRING, date STRING, remote STRING, "
+            "id STRING, position STRING, company STRING, date STRING, remote VARIANT, "
             "salary_min STRING, salary_max STRING, url STRING, description STRING, location STRING"
         ),
         _remoteok,

@@ -40,6 +40,10 @@ def test_remoteok(spark, cfg):
     r = first(spark, cfg, "remoteok", None, base)
     assert (r["external_id"], r["country"], r["remote_type"], r["salary_min"], r["salary_max"]) == ("7", "United States", "onsite", 50000, None)
     assert r["url"] == r["apply_url"] == "https://remoteok.com/remote-jobs/7"
+    modes = [(True, "remote"), (None, "onsite"), ("", "onsite"), ("yes", "remote"), (0, "onsite")]
+    assert [first(spark, cfg, "remoteok", None, {**base, "remote": m})["remote_type"] for m, _ in modes] == [w for _, w in modes]
+    del base["remote"]
+    assert first(spark, cfg, "remoteok", None, base)["remote_type"] == "remote"
     assert first(spark, cfg, "remoteok", None, {**base, "salary_max": "lots"}) is None
     assert first(spark, cfg, "remoteok", None, {**base, "id": None}) is None
     assert first(spark, cfg, "remoteok", None, {**base, "company": ""}) is None
