@@ -73,7 +73,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + length(role) + 1 + n + 10 + 1) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 
 @_query
