@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, chat, langid, neardup, packing, pii, quality, topk
+from hirescope.llm import bpe, chat, langid, neardup, packing, pii, pst, quality, topk
 from hirescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree, counts = pst.learn(docs.where(~pst.held_out()))
+    return pst.score(docs, tree, counts).select(
+        "doc_id", pst.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
