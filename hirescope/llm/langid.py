@@ -167,12 +167,12 @@ def classify(trees: Trees, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return pred, score
 
 
-def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; these two replace columns of the same names."""
+def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text",
+             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score; ``out`` replace columns of the same names."""
     spark = prepare(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    docs = docs.drop(*out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     held = spark.sparkContext.broadcast(trees)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Da
                 pred, score = classify(held.value, batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                names=[*batch.schema.names, *out])
 
     return docs.mapInArrow(predict, schema)
 

@@ -92,7 +92,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SETS = "row long, doc_id long, n long, c0 long, c1 long, sh binary, " + ", ".join(f"{m} long" for m in _MINIMA)
+_SETS = "row long, doc_id long, tag long, n long, c0 long, c1 long, sh binary, " + ", ".join(f"{m} long" for m in _MINIMA)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = np.zeros((rows, COORDINATES), np.uint64)
         head = np.zeros((rows, 3), np.int64)
         shingles = []
-        for i, raw in enumerate(byte_texts(batch.column(2))):
+        for i, raw in enumerate(byte_texts(batch.column(3))):
             g = grams(raw)
             shingles.append(packed(g))
             if len(g):
@@ -112,15 +112,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(COORDINATES):
                     minima[i, k] = (a * _FACTORS[k]).min()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array(head[:, k]) for k in range(3)], pa.array(shingles, pa.binary()),
+            [batch.column(0), batch.column(1), batch.column(2), *[pa.array(head[:, k]) for k in range(3)], pa.array(shingles, pa.binary()),
              *[pa.array(minima[:, k].astype(np.int64)) for k in range(COORDINATES)]],
-            names=["row", "doc_id", "n", "c0", "c1", "sh", *_MINIMA])
+            names=["row", "doc_id", "tag", "n", "c0", "c1", "sh", *_MINIMA])
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, row: str | None) -> DataFrame:
+def document_sets(docs: DataFrame, id_col: str, text_col: str, tag: str | None) -> DataFrame:
     prepare(docs.sparkSession)
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    return materialize(docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    tagged = (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), tagged,
                                    F.col(text_col).cast("string").alias("text")).mapInArrow(_sets, _SETS), "gram-sets")
 
 
@@ -282,11 +282,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, class_row and class_id (the earliest row of its class, and that
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
+    """Per row of ``docs``: row (its number), doc_id, tag, class_row and class_id (the earliest row of its class, and that
     row's id), copy_id (the earliest row's id with an equal set) and n_links (other rows of similarity
-    ``SIMILARITY`` or more). ``row`` names a column that numbers the rows."""
-    sets = document_sets(docs, id_col, text_col, row)
+    ``SIMILARITY`` or more). ``tag`` names a column of numbers to hand through."""
+    sets = document_sets(docs, id_col, text_col, tag)
     words = sets.where("n > 0")
     reps = materialize(
         words.groupBy("n", "c0", "c1").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"),
@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "n", "c0", "c1", F.col("rep_doc").alias("copy_id"), F.coalesce("class_row", "rep").alias("class_row"),
             F.when(F.col("class_row").isNull(), F.col("rep_doc")).otherwise(F.col("class_id")).alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links")), "classes")
-    return sets.select("row", "doc_id", "n", "c0", "c1").join(known, ["n", "c0", "c1"], "left").select(
-        "row", "doc_id", F.coalesce("class_row", "row").alias("class_row"),
+    return sets.select("row", "doc_id", "tag", "n", "c0", "c1").join(known, ["n", "c0", "c1"], "left").select(
+        "row", "doc_id", "tag", F.coalesce("class_row", "row").alias("class_row"),
         F.when(F.col("class_row").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("class_row").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

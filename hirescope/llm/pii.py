@@ -149,14 +149,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with pii_spans (array of kind, start, end) and pii_masked, the text without them."""
+def scan(docs: DataFrame, text_col: str = "text", out: tuple[str, str] = ("pii_spans", "pii_masked")) -> DataFrame:
+    """``docs`` with the spans (array of kind, start, end) and the text with masks in their place;
+    ``out`` replace columns of the same names."""
     prepare(docs.sparkSession)
-    docs = docs.drop("pii_spans", "pii_masked")
+    docs = docs.drop(*out)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                          T.StructField("end", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.ArrayType(span)),
-                           T.StructField("pii_masked", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.ArrayType(span)),
+                           T.StructField(out[1], T.StringType())])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             masked = [t if not s else mask(t, s) for t, s in zip(column.to_pylist(), found)]
             listed = [[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed, arrow), pa.array(masked, pa.string())],
-                                             names=[*batch.schema.names, "pii_spans", "pii_masked"])
+                                             names=[*batch.schema.names, *out])
 
     return docs.mapInArrow(run, schema)
 

@@ -40,7 +40,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _DIGITS = re.compile(rb"[0-9]+")
 _ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-_SCHEMA = """doc_row long, doc_id long, host string, n_words long, word_chars long, n_symbols long,
+_SCHEMA = """doc_row long, doc_id long, tag long, host string, n_words long, word_chars long, n_symbols long,
 n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>, s0 long, s1 long, s2 long"""
 
 
@@ -104,8 +104,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[f"s{i}"].append(_signed(least))
         kinds = {"lines": pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))}
         yield pa.RecordBatch.from_arrays(
-            [col["doc_row"], col["doc_id"], col["host"], *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]],
-            names=["doc_row", "doc_id", "host", *out])
+            [col["doc_row"], col["doc_id"], col["tag"], col["host"], *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]],
+            names=["doc_row", "doc_id", "tag", "host", *out])
 
 
 def common_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
@@ -120,15 +120,16 @@ def common_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFr
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, row: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_row, doc_id, the counts, words_left, base_failed and kept.
+          max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, tag: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_row (its number), doc_id, tag, the counts, words_left, base_failed and kept.
 
-    ``row`` names a column that numbers the rows; without it rows are numbered here.
+    ``tag`` names a column of numbers to hand through.
     """
     prepare(docs.sparkSession)
     rows = docs.select(
-        (F.col(row) if row else F.monotonically_increasing_id()).alias("doc_row"),
+        F.monotonically_increasing_id().alias("doc_row"),
         F.col(id_col).cast("long").alias("doc_id"),
+        (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag"),
         F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("")).alias("host"),
         F.col(text_col).cast("string").alias("text"))
     facts = materialize(rows.mapInArrow(_facts, _SCHEMA), "quality-facts")
