@@ -3,15 +3,13 @@
 Base rules reject documents under ``MIN_WORDS`` words or with more than half of
 their words in repeated 3-word windows. The rest is judged by its lines: each
 line with a word is normalised (lower case, digits as one sign, words joined by
-single blanks) and hashed; per host the number of different documents that hold
-it is counted, and lines held by more than ``MAX_DOCUMENTS`` of them are removed.
-A document is depleted, and rejected, if less than ``MIN_LEFT`` of its words stay.
-
-Copies of a document are not evidence of boilerplate: a document counts under the
-least hash of its lines, under three independent orders of which the largest
-number holds, so any number of exact copies counts once and near copies that
-share their lines nearly so. Nothing is sampled or capped; hot lines and hosts
-are summed in two steps (line and document, then line).
+single blanks) and hashed; per host the number of different documents (by the hash of
+their lines, so that copies count once) that hold it is counted, and lines held by
+more than ``MAX_DOCUMENTS`` of them are removed from all but the first of these
+documents. A document is depleted, and rejected, if less than ``MIN_LEFT`` of its
+words stay. So of any group of documents alike, however large, one is left for
+de-duplication. Nothing is sampled or capped; hot lines and hosts are summed in
+two steps (line and document, then line).
 
 Cases: a null or blank text has no words and fails the base rules; a null host is
 a host of its own; repeated rows are judged as copies, each with a row of its own.
@@ -20,6 +18,7 @@ a host of its own; repeated rows are judged as copies, each with a row of its ow
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +37,9 @@ MIN_LEFT = 0.3
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 _DIGITS = re.compile(rb"[0-9]+")
-_ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _SCHEMA = """doc_row long, doc_id long, tag long, host string, n_words long, word_chars long, n_symbols long,
-n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>, s0 long, s1 long, s2 long"""
+n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>, content long"""
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -89,7 +87,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                                "lines", "s0", "s1", "s2")}
+                                                "lines", "content")}
         for raw, text in zip(byte_texts(col["text"]), texts(col["text"])):
             words = raw.split()
             repeated, lines = line_facts(raw)
@@ -99,9 +97,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_dup_lines"].append(repeated)
             out["n_repeat_words"].append(repeated_words(words))
             out["lines"].append([{"line": _signed(k), "words": n} for k, n in lines.items()])
-            for i, factor in enumerate(_ORDERS):
-                least = min(((k * factor) & 0xFFFFFFFFFFFFFFFF for k in lines), default=0)
-                out[f"s{i}"].append(_signed(least))
+            out["content"].append(_signed(xxhash.xxh3_64_intdigest(array("Q", lines).tobytes())))
         kinds = {"lines": pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))}
         yield pa.RecordBatch.from_arrays(
             [col["doc_row"], col["doc_id"], col["tag"], col["host"], *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]],
@@ -109,14 +105,12 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line) of lines held by more than ``max_documents`` different documents of the host."""
-    line = facts.select("host", F.explode("lines.line").alias("line"), "s0", "s1", "s2")
-    counted = None
-    for s in ("s0", "s1", "s2"):
-        n = line.select("host", "line", s).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-        n = n.where(F.col("n") > max_documents).select("host", "line")
-        counted = n if counted is None else counted.unionByName(n)
-    return counted.distinct()
+    """(host, line, first): lines held by more than ``max_documents`` different documents of the host,
+    and the content of the first of them."""
+    line = facts.select("host", F.explode("lines.line").alias("line"), "content", "doc_row")
+    holders = line.groupBy("host", "line", "content").agg(F.min("doc_row").alias("row"))
+    counted = holders.groupBy("host", "line").agg(F.count("*").alias("n"), F.min_by("content", "row").alias("first"))
+    return counted.where(F.col("n") > max_documents).drop("n")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -134,12 +128,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.col(text_col).cast("string").alias("text"))
     facts = materialize(rows.mapInArrow(_facts, _SCHEMA), "quality-facts")
     common = common_lines(facts, max_documents)
-    held = facts.select("doc_row", "host", F.explode("lines").alias("l")).select("doc_row", "host", "l.line", "l.words")
-    removed = held.join(common, ["host", "line"]).groupBy("doc_row").agg(F.sum("words").alias("_removed"))
+    held = facts.select("doc_row", "host", "content", F.explode("lines").alias("l")).select(
+        "doc_row", "host", "content", "l.line", "l.words")
+    removed = held.join(common, ["host", "line"]).where("content <> first").groupBy("doc_row").agg(F.sum("words").alias("_removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     return (
-        facts.drop("lines", "host", "s0", "s1", "s2").join(removed, "doc_row", "left")
+        facts.drop("lines", "host", "content").join(removed, "doc_row", "left")
         .withColumn("words_left", left).drop("_removed")
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_left * F.col("n_words")))
