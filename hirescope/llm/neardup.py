@@ -92,7 +92,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SETS = "row long, doc_id long, tag long, n long, c0 long, c1 long, sh binary, " + ", ".join(f"{m} long" for m in _MINIMA)
+_SETS = "row long, doc_id long, tag long, hash long, n long, c0 long, c1 long, " + ", ".join(f"{m} long" for m in _MINIMA)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,26 +102,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         minima = np.zeros((rows, COORDINATES), np.uint64)
         head = np.zeros((rows, 3), np.int64)
-        shingles = []
-        for i, raw in enumerate(byte_texts(batch.column(3))):
+        for i, raw in enumerate(byte_texts(batch.column(4))):
             g = grams(raw)
-            shingles.append(packed(g))
             if len(g):
                 a = _mixed(g)
                 head[i] = len(g), a.sum(dtype=np.uint64).astype(np.int64), _mixed(a + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)
                 for k in range(COORDINATES):
                     minima[i, k] = (a * _FACTORS[k]).min()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), *[pa.array(head[:, k]) for k in range(3)], pa.array(shingles, pa.binary()),
+            [*batch.columns[:4], *[pa.array(head[:, k]) for k in range(3)],
              *[pa.array(minima[:, k].astype(np.int64)) for k in range(COORDINATES)]],
-            names=["row", "doc_id", "tag", "n", "c0", "c1", "sh", *_MINIMA])
+            names=["row", "doc_id", "tag", "hash", "n", "c0", "c1", *_MINIMA])
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, tag: str | None) -> DataFrame:
     prepare(docs.sparkSession)
     tagged = (F.col(tag) if tag else F.lit(None)).cast("long").alias("tag")
     return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), tagged,
-                                   F.col(text_col).cast("string").alias("text")).mapInArrow(_sets, _SETS), "gram-sets")
+                                   F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sets, _SETS), "gram-sets")
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
@@ -208,7 +206,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of (path, bi, bj) groups -> rep, links, hub. One group is in memory at a time."""
+    """Rows sorted by (path, bi, bj) and rep -> rep, links, hub. One group is in memory at a time."""
     group: list[dict] = []
     key = None
     out: list[tuple[int, int, int]] = []
@@ -216,7 +214,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         if len(group) < 2:
             return
-        group.sort(key=lambda r: r["rep"])
         side = None if key[1] == key[2] else np.array([r["own"] == key[1] for r in group], np.int8)
         if side is not None and side.min() == side.max():
             return
@@ -235,26 +232,41 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own_key != key:
                 close()
                 group, key = [], own_key
-            group.append(r)
+            if not group or group[-1]["rep"] != r["rep"]:
+                group.append(r)
         yield flushed()
     close()
     yield flushed()
 
 
-def links(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, links, hub): linked copies by block, and the least set it is connected to there."""
+def _with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = pa.array([packed(grams(raw)) for raw in byte_texts(batch.column(3))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["rep", "copies", "leaves", "sh"])
+
+
+def links(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, links, hub): linked copies by block, and the least set it is connected to there.
+
+    ``texts`` (doc_id, hash, text) is read once more for the sets of those that share a leaf, so that
+    sets of all documents need not be kept. A text that is there twice is compared once.
+    """
     found = materialize(leaves(reps), "leaves")
-    of_rep = found.groupBy("rep").agg(F.collect_list(F.struct("path", "n")).alias("_leaves"))
-    held = (sets.select(F.col("row").alias("rep"), "sh").join(of_rep, "rep")
-            .join(reps.select("rep", "copies"), "rep")
-            .select("rep", "sh", "copies", "_leaves.path", F.explode("_leaves").alias("_leaf"))
-            .select("rep", "sh", "copies", F.col("path").alias("all"), F.col("_leaf.path").alias("path"), F.col("_leaf.n").alias("n")))
+    of_rep = found.groupBy("rep").agg(F.collect_list(F.struct("path", "n")).alias("leaves"))
+    sought = of_rep.join(reps.select("rep", "copies", "rep_doc", "rep_hash"), "rep").select(
+        "rep", "copies", "leaves", F.coalesce("rep_doc", F.lit(0)).alias("_id"), F.col("rep_hash").alias("hash"))
+    held = (texts.withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(sought, ["_id", "hash"])
+            .select("rep", "copies", "leaves", "text")
+            .mapInArrow(_with_grams, "rep long, copies long, leaves array<struct<path: long, n: long>>, sh binary"))
+    held = held.select("rep", "sh", "copies", F.col("leaves.path").alias("all"), F.explode("leaves").alias("_leaf")).select(
+        "rep", "sh", "copies", "all", F.col("_leaf.path").alias("path"), F.col("_leaf.n").alias("n"))
     blocks = F.when(F.col("n") <= LEAF, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
     held = held.withColumn("own", F.pmod(F.xxhash64("rep", "path"), blocks).cast("int")).withColumn(
         "_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = ["path", "bi", "bj"]
     held = held.select("path", F.least("own", "_other").alias("bi"), F.greatest("own", "_other").alias("bj"), "own",
                        "rep", "copies", "all", "sh")
-    return materialize(held.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj")
+    return materialize(held.repartition(*key).sortWithinPartitions(*key, "rep")
                        .mapInArrow(_links, "rep long, links long, hub long"), "links")
 
 
@@ -290,8 +302,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = sets.where("n > 0")
     reps = materialize(
         words.groupBy("n", "c0", "c1").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc"),
+                                           F.min_by("hash", "row").alias("rep_hash"),
                                            F.count("*").alias("copies"), *[F.min(m).alias(m) for m in _MINIMA]), "reps")
-    found = links(sets, reps)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = links(texts.withColumn("hash", F.xxhash64("text")), reps)
     joined = components(found.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     count = found.groupBy("rep").agg(F.sum("links").alias("_links"))
     named = joined.select(F.col("a").alias("rep"), F.col("b").alias("class_row")).join(
