@@ -31,7 +31,7 @@ class Config:
     soft_skills: tuple[str, ...] = fv.SOFT_SKILLS
     business_skills: tuple[str, ...] = fv.BUSINESS_SKILLS
     skill_categories: dict[str, str] = field(default_factory=lambda: dict(fv.SKILL_CATEGORIES))
-    source_caps: dict[str, int] = field(default_factory=lambda: dict(fv.SOURCE_CAPS))
+    source_caps: dict[str, int] = field(default_factory=dict)  # first N postings of a board's crawl
     max_age_days: int = 14
     summary_length: int = 500
     word_boundaries: bool = False        # title keywords must be whole words

@@ -116,22 +116,6 @@ ROLE_KEYWORDS = {
     ),
 }
 
-ROLE_QUERIES = {
-    "analytics": (
-        "data analyst", "business analyst", "analytics engineer",
-        "data engineer", "business intelligence analyst", "data scientist",
-        "marketing analyst", "operations analyst",
-    ),
-    "business_development": (
-        "business development analyst", "business development representative",
-        "sales development representative", "partnerships analyst",
-    ),
-    "customer_service": (
-        "customer service", "customer support",
-        "customer success", "customer experience",
-    ),
-}
-
 # --- Fixed values: discovery filters ------------------------------------------
 
 IRRELEVANT_TITLE_WORDS = (

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirescope.functions.stats import first_value
 from hirescope.functions.text import blank_if_null, fingerprint, strip
 from hirescope.session import keep_listed, materialize
 
-# A group above this many rows is "hot"; n rows hold at most n / HOT_GROUP hot groups.
-HOT_GROUP = 1_000_000
-# Largest list of hot keys sent to every task (16 bytes each).
-HOT_KEYS = 500_000
-# A remainder of at most this many (key, key, number) rows is finished by one scan in order.
-TAIL_ROWS = 200_000
-
-
 def title_company_key():
     return F.unhex(
         F.md5(
@@ -33,47 +21,7 @@ def title_company_key():
     )
 
 
-def _without(live: DataFrame, kept: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Rows of ``live`` whose ``key`` is not among the kept rows' keys.
-
-    Rows of hot keys would all meet in one task of a shuffled join. Their keys
-    are few, so they are tested against a broadcast list instead.
-    """
-    used = kept.select(key)
-    if hot is None:
-        return live.join(used, key, "left_anti")
-    hot_used = F.broadcast(used.join(F.broadcast(hot), key, "left_semi"))
-    is_hot = F.broadcast(hot)
-    cold_rows = live.join(is_hot, key, "left_anti").join(used, key, "left_anti")
-    hot_rows = live.join(is_hot, key, "left_semi").join(hot_used, key, "left_anti")
-    return cold_rows.unionByName(hot_rows)
-
-
-def _hot_keys(edges: DataFrame, key: str, hot_group: int) -> DataFrame | None:
-    sizes = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_group).select(key)
-    count = hot.count()
-    if count == 0 or count > HOT_KEYS:
-        # None, or too many to broadcast: then each is small against the whole and
-        # the shuffled join (split by AQE where needed) is the right tool.
-        return None
-    return materialize(hot, "hot-keys")
-
-
-def _scan_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen_keys, seen_prints = set(), set()
-    for batch in batches:
-        keep = []
-        for key, fp in zip(batch["k"], batch["f"]):
-            fresh = key not in seen_keys and fp not in seen_prints
-            if fresh:
-                seen_keys.add(key)
-                seen_prints.add(fp)
-            keep.append(fresh)
-        yield batch.loc[keep, ["seq"]]
-
-
-def greedy_kept(edges: DataFrame, hot_group: int = HOT_GROUP, tail_rows: int = TAIL_ROWS) -> DataFrame:
+def greedy_kept(edges: DataFrame) -> DataFrame:
     """``seq`` of the rows that a pass in arrival order would keep.
 
     ``edges`` has ``k``, ``f`` (binary keys) and ``seq`` (unique). A row is kept
@@ -81,45 +29,41 @@ def greedy_kept(edges: DataFrame, hot_group: int = HOT_GROUP, tail_rows: int = T
 
     Each round keeps every row that comes first in both of its groups and drops
     the rows that share a key with one of those; both are certain, so repeating
-    until no row is left gives the exact result. Only these three slim columns
-    move. There is no limit on rounds; a small remainder is finished in one scan.
+    until no row is left gives the exact result, at every size. Only these three
+    slim columns move. Rows that wait for one another in turn (a chain of shared
+    keys in arrival order) take a round each; there is no limit on rounds.
     """
     # Of rows equal in both keys only the first can be kept.
     live = materialize(edges.groupBy("k", "f").agg(F.min("seq").alias("seq")), "dedup-edges")
-    remaining = live.count()
-    hot = {k: _hot_keys(live, k, hot_group) if remaining > tail_rows else None for k in ("k", "f")}
     rounds: list[DataFrame] = []
-    while remaining > tail_rows:
+    while True:
         # Group minima come from aggregates that combine before the shuffle; they
-        # meet on seq, which is unique, so no hot key is ever joined here.
+        # meet on seq, which is unique, so no hot key is joined here.
         first_k = live.groupBy("k").agg(F.min("seq").alias("seq"))
         first_f = live.groupBy("f").agg(F.min("seq").alias("seq"))
         kept = materialize(first_k.join(first_f, "seq"), "dedup-kept")
         rounds.append(kept.select("seq"))
-        rest = _without(_without(live, kept, "k", hot["k"]), kept, "f", hot["f"])
+        # A key's kept row is one row: a hot key makes only the left side of these
+        # joins uneven, and that side Spark can split.
+        rest = live.join(kept.select("k"), "k", "left_anti").join(kept.select("f"), "f", "left_anti")
         live = materialize(rest, "dedup-rest")
-        remaining = live.count()
-    if remaining or not rounds:
-        schema = T.StructType([T.StructField("seq", T.LongType())])
-        tail = live.repartition(1).sortWithinPartitions("seq").mapInPandas(_scan_in_order, schema)
-        rounds.append(materialize(tail, "dedup-tail"))
+        if live.isEmpty():
+            break
     result = rounds[0]
     for more in rounds[1:]:
         result = result.unionByName(more)
     return result
 
 
-def dedup_postings(
-    df: DataFrame, hot_group: int = HOT_GROUP, tail_rows: int = TAIL_ROWS
-) -> DataFrame:
+def dedup_postings(df: DataFrame) -> DataFrame:
     """Keep a posting iff neither its title + company nor its fingerprint was kept before."""
     edges = df.select(
         title_company_key().alias("k"),
         F.unhex(fingerprint(F.col("source"), F.col("external_id"))).alias("f"),
         F.col("ingest_seq").alias("seq"),
     )
-    kept = greedy_kept(edges, hot_group, tail_rows).withColumnRenamed("seq", "ingest_seq")
-    return keep_listed(df, kept, "ingest_seq", "dedup-dropped")
+    kept = greedy_kept(edges).withColumnRenamed("seq", "ingest_seq")
+    return keep_listed(df, kept, "ingest_seq", "dedup-kept-numbers")
 
 
 def company_upsert(postings: DataFrame, stored: DataFrame) -> DataFrame:

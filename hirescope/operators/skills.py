@@ -154,23 +154,16 @@ def explode_hits(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def job_skills_bridge(df: DataFrame, cfg: Config) -> DataFrame:
-    """Unique (fingerprint, skill) rows; of several postings with one fingerprint the first counts.
-
-    Arrival number, count and flag travel as one number, so "the first" is a plain
-    minimum: Spark then aggregates by hash, where a minimum over a struct would
-    sort every row first.
-    """
+    """Unique (fingerprint, skill) rows; of several postings with one fingerprint the first counts."""
     hits = explode_hits(extract_skills(df, cfg), "fingerprint", "ingest_seq")
-    room = F.lit(1 << 32).cast("decimal(11,0)")
+    # Count and flag travel as one number: a minimum over a struct would sort every row first.
     low = F.col("count").cast("bigint") * 2 + F.col("is_required").cast("bigint")
-    packed = F.col("ingest_seq").cast("decimal(20,0)") * room + low.cast("decimal(11,0)")
-    first = hits.groupBy("fingerprint", "skill").agg(F.min(packed).alias("_first"))
-    rest = (F.col("_first") % room).cast("bigint")
+    first = hits.groupBy("fingerprint", "skill").agg(F.min_by(low, "ingest_seq").alias("_first"))
     return first.select(
         "fingerprint", "skill",
         category_column(F.col("skill"), cfg).alias("category"),
-        (rest % 2 == 1).alias("is_required"),
-        F.floor(rest / 2).cast("int").alias("count"),
+        (F.col("_first") % 2 == 1).alias("is_required"),
+        F.floor(F.col("_first") / 2).cast("int").alias("count"),
     )
 
 

@@ -24,6 +24,8 @@ POSTING_FIELDS = struct(
     role_category=STRING, raw_data=STRING,
 )
 
+#: Arrival number of a posting that came out of a payload.
+ARRIVAL = T.DecimalType(30, 0)
 POSTING_RAW = T.StructType(POSTING_FIELDS.fields + struct(ingest_seq=LONG).fields)
 
 SKILL_HITS = T.ArrayType(struct(name=STRING, category=STRING, is_required=BOOL, count=INT))

@@ -64,21 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def keep_listed(df: DataFrame, kept: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows of a wide ``df`` whose unique ``key`` is in ``kept``, moving as little as possible.
+    """Rows of a wide ``df`` whose unique ``key`` is in ``kept``.
 
-    The numbers of the dropped rows are written first, so their size is known
-    when the join is planned: while it is under the session's broadcast limit the
-    wide rows stay where they are, and only beyond it both sides are shuffled.
+    The numbers are written first, so their size is known when the join is
+    planned: while it is under the session's broadcast limit the wide rows stay
+    where they are, and only beyond it both sides are shuffled.
     """
-    dropped = materialize(df.select(key).join(kept.select(key), key, "left_anti"), name)
-    return df.join(dropped, key, "left_anti")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small input sits in fewer files than there are cores.
-
-    Heavy per-row work on one row group would keep a single core busy. Inputs
-    with enough partitions, as large tables have, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.join(materialize(kept.select(key), name), key, "left_semi")

@@ -13,7 +13,6 @@ from hirescope.sources.json_boards import before_comma, filled, level_from_title
 from hirescope.sources.registry import Source, kept_if, register
 
 INDEED_SITE = "https://www.indeed.com"
-CARDS_PER_PAGE = 25
 
 
 def tag(name: str, css_class: str) -> str:
@@ -64,12 +63,18 @@ def _linkedin(card: Column, location: Column, cfg: Config) -> Column:
 register(Source("linkedin", _list_items, _linkedin))
 
 
+def _cut(html: Column, *classes: str) -> Column:
+    """Pieces of a page that begin with a block of one of the classes."""
+    opening = "|".join(tag("div", c) for c in classes)
+    return F.filter(F.split(html, f"(?is)(?=(?:{opening}))"), lambda c: c.rlike(f"(?is)^(?:{opening})"))
+
+
 def _result_cards(html: Column) -> Column:
-    """Cards are nested blocks, so the page is cut where each one opens."""
-    opening = "(?is)(?=(?:" + tag("div", "job_seen_beacon") + "|" + tag("div", "result") + "))"
-    pieces = F.split(html, opening)
-    starts_with_card = F.filter(pieces, lambda c: c.rlike("(?is)^(?:" + tag("div", "job_seen_beacon") + "|" + tag("div", "result") + ")"))
-    return F.slice(starts_with_card, 1, CARDS_PER_PAGE)
+    """Cards are nested blocks, so the page is cut where each one opens. Blocks of class "result"
+    are cards only inside the result list."""
+    parts = F.split(html, "(?is)(?=" + tag("div", "jobsearch-ResultsList") + ")", 2)
+    inside = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    return F.concat(_cut(F.get(parts, F.lit(0)), "job_seen_beacon"), _cut(inside, "job_seen_beacon", "result"))
 
 
 def _indeed(card: Column, context: Column, cfg: Config) -> Column:

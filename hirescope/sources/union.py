@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.config import Config
 from hirescope.functions.stats import top_per_group
 from hirescope.functions.text import fingerprint
-from hirescope.schemas import POSTING_FIELDS
+from hirescope.schemas import ARRIVAL, POSTING_FIELDS
 from hirescope.session import keep_listed
 from hirescope.sources.registry import SOURCES, Source
 
 
-RECORD_BITS = 20
+# More than any place inside a payload (a place is an INT).
+_ROOM = 1 << 31
 
 
 def _arrival(position: Column) -> Column:
-    """Arrival number of a record: the payload's number, then the place inside the payload."""
-    room = 1 << RECORD_BITS
-    checked = F.when(position < room, position.cast("bigint")).otherwise(
-        F.raise_error(F.lit(f"a payload holds more than {room} records")).cast("bigint")
-    )
-    return (F.shiftleft(F.col("ingest_seq"), RECORD_BITS) + checked).alias("ingest_seq")
+    """Arrival number of a record: the payload's number, then the place inside the payload.
+
+    A decimal holds both for every payload number and every place, in order.
+    """
+    number = F.col("ingest_seq").cast("decimal(19,0)") * F.lit(_ROOM).cast("decimal(10,0)")
+    return (number + position.cast("decimal(10,0)")).cast(ARRIVAL).alias("ingest_seq")
 
 
 def _flat() -> list[Column]:
@@ -44,52 +47,47 @@ def map_source(landing: DataFrame, source: str | Source, cfg: Config) -> DataFra
     )
 
 
-def _postings_of(payload: Column, context: Column, board: Source, cfg: Config) -> Column:
-    return F.transform(board.records(payload), lambda record: board.posting(record, context, cfg))
-
-
-def _tagged(landing: DataFrame, cfg: Config, boards: list[Source]) -> DataFrame:
-    """Landing rows with their postings. One scan, whatever the number of boards."""
-    payload, context = F.col("payload"), F.col("context")
-    chosen = None
-    for board in boards:
-        postings = _postings_of(payload, context, board, cfg)
-        is_board = F.col("source") == board.name
-        chosen = F.when(is_board, postings) if chosen is None else chosen.when(is_board, postings)
-    return landing.withColumn("postings", chosen)
+def _boards(boards: list[str] | None) -> list[Source]:
+    return [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
 
 
 def union_sources(landing: DataFrame, cfg: Config, boards: list[str] | None = None) -> DataFrame:
-    """Postings of every board in one pass over landing.
+    """Postings of every board: one branch per board, which reads only that board's folder if
+    landing is partitioned by source, and maps its records by compiled expressions.
 
     A payload that cannot be read yields nothing and disturbs no other row;
     :func:`quarantined` returns those payloads.
     """
-    chosen = [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
-    return (
-        _tagged(landing, cfg, chosen)
-        .select("ingest_seq", "payload", F.posexplode_outer("postings").alias("pos", "posting"))
-        .where(F.col("posting").isNotNull())
-        .select(_arrival(F.col("pos")), "payload", "posting")
-        .select(*_flat())
-    )
+    branches = [map_source(landing, board, cfg) for board in _boards(boards)]
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _usable(board: Source, cfg: Config) -> Column:
+    found = F.exists(board.records(F.col("payload")), lambda r: board.posting(r, F.col("context"), cfg).isNotNull())
+    return F.coalesce(found, F.lit(False))
 
 
 def quarantined(landing: DataFrame, cfg: Config, boards: list[str] | None = None) -> DataFrame:
-    chosen = [SOURCES[b] for b in boards] if boards else list(SOURCES.values())
-    usable = F.coalesce(F.exists("postings", lambda p: p.isNotNull()), F.lit(False))
-    return _tagged(landing, cfg, chosen).where(~usable).drop("postings")
+    """Payloads without a usable record, and payloads of no known board."""
+    chosen = _boards(boards)
+    known = F.coalesce(F.col("source").isin([b.name for b in chosen]), F.lit(False))
+    out = landing.where(~known)
+    for board in chosen:
+        out = out.unionByName(landing.where((F.col("source") == board.name) & ~_usable(board, cfg)))
+    return out
 
 
 def dedup_and_cap(postings: DataFrame, cfg: Config) -> DataFrame:
-    """First posting per fingerprint; capped boards keep their first N, others keep all.
+    """First posting per fingerprint; boards in ``cfg.source_caps`` keep their first N, others keep all.
 
-    The cap is a property of the board's crawl, so it only counts distinct
+    No board has a cap by default. The cap is a property of the board's crawl, so it only counts distinct
     postings. Rows are first reduced to keys; uncapped boards never enter the
     ranking, so a board holding most of the rows costs nothing there.
     """
     keyed = postings.withColumn("fingerprint", fingerprint(F.col("source"), F.col("external_id")))
     firsts = keyed.groupBy("fingerprint", "source").agg(F.min("ingest_seq").alias("ingest_seq"))
+    if not cfg.source_caps:
+        return keep_listed(keyed, firsts, "ingest_seq", "first-postings")
     capped_sources = list(cfg.source_caps)
     largest = max(cfg.source_caps.values(), default=0)
     limits = F.create_map(*[F.lit(x) for pair in cfg.source_caps.items() for x in pair])

@@ -35,6 +35,14 @@ def test_unreadable_payloads_are_set_aside(spark, cfg):
     assert sorted(each) == ["Analyst", "One", "Two"]
 
 
+def test_arrival_numbers_neither_wrap_nor_meet(spark, cfg):
+    payload = json.dumps([{"id": "a", "name": "One"}, {"id": "b", "name": "Two"}])
+    numbers = [10**18, 10**18 + 1, 1_700_000_000_000_000, 1_700_000_000_000_000 + 2**44, 2**63 - 1]
+    df = spark.createDataFrame([("smartrecruiters", "x", payload, n, None) for n in numbers], LANDING)
+    got = sorted(r["ingest_seq"] for r in sources.union_sources(df, cfg).collect())
+    assert got == sorted(n * 2**31 + place for n in numbers for place in (0, 1))
+
+
 def test_remoteok(spark, cfg):
     base = {"id": 7, "position": "Junior Dev", "company": "A", "location": "Vienna, Austria", "remote": False, "salary_min": 50000.7, "salary_max": 0}
     r = first(spark, cfg, "remoteok", None, base)
@@ -67,11 +75,15 @@ def test_lever_and_workday(spark, cfg):
     assert (r["title"], r["external_id"], r["url"], r["company"]) == ("Dev", "R1", "https://amazon.myworkdayjobs.com", "Amazon")
 
 
-def test_indeed_cap_and_context(spark, cfg):
+def test_indeed_reads_whole_pages(spark, cfg):
     card = '<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/j{0}" id="job_{0}"><span>Title {0}</span></a></h2><span class="date">{0} days ago</span></div>'
     page = "<html>" + "".join(card.format(i) for i in range(30)) + "</html>"
     found = sources.map_source(landing(spark, ("indeed", "de|Germany", page)), "indeed", cfg)
-    assert found.count() == 25
+    assert found.count() == 30
+    outside = '<div class="result"><h2 class="jobTitle"><a href="/x"><span>Ad</span></a></h2></div>'
+    inside = f'<div class="jobsearch-ResultsList">{outside.replace("Ad", "Job")}</div>'
+    both = sources.map_source(landing(spark, ("indeed", "de|Germany", outside + inside)), "indeed", cfg)
+    assert column(both, "title") == ["Job"]
     r = found.orderBy("ingest_seq").first()
     assert (r["external_id"], r["country"], r["company"], r["url"], r["city"]) == ("0", "Germany", "Unknown", "https://www.indeed.com/j0", "")
 

@@ -12,7 +12,6 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from hirescope.config import Config, Profile
-from hirescope.session import spread
 
 AS_OF = datetime(2024, 1, 10, tzinfo=timezone.utc)
 AS_OF_MICROS = 1704844800000000
@@ -120,8 +119,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same postings for queries that scan the texts: small inputs are spread over the cores."""
-    return as_postings(spread(table(spark, sf_dir, "documents")))
+    """The same postings, for queries that scan the texts."""
+    return postings(spark, sf_dir)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope import sources
+from hirescope.fixed_values import SOURCE_CAPS
 from hirescope.schemas import POSTING_FIELDS
 from workloads import inputs as I
 from workloads import oracle as O
@@ -46,7 +49,7 @@ def mapping(source: str, keep: str, title: str, **columns: str) -> str:
     # Level rules read a column called title.
     level = exprs.pop("experience_level").replace("lower(title)", f"lower({title})")
     picked = ", ".join(f"{e} AS {c}" for c, e in {**exprs, "experience_level": level}.items())
-    return f"SELECT {picked}, seq * 1048576 AS ingest_seq FROM l WHERE {keep}"
+    return f"SELECT {picked}, CAST(CAST(seq AS HUGEINT) * 2147483648 AS VARCHAR) AS ingest_seq FROM l WHERE {keep}"
 
 
 def place(t: str) -> str:
@@ -145,8 +148,12 @@ def landed(board: str, source: str = "raw", name: str = "l") -> str:
     return f"{name} AS (SELECT ingest_seq AS seq, {I.duck_rule(context)} AS ctx, {I.duck_json(shape)} AS j FROM {source})"
 
 
+def _arrival():
+    return F.col("ingest_seq").cast("string").alias("ingest_seq")
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in _COLUMNS if c != "posting_date"], seconds("posting_date"), "ingest_seq")
+    return df.select(*[c for c in _COLUMNS if c != "posting_date"], seconds("posting_date"), _arrival())
 
 
 def _register(board: str, key: str) -> None:
@@ -183,7 +190,7 @@ _linkedin_level = level_sql(LEVELS["linkedin"])
 _LINKEDIN = (
     "cards AS (SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS c FROM (SELECT page_id, regexp_extract_all("
     + I.duck_rule(I.CARD_PAGES["linkedin"][1]) + ", '<li\\b[^>]*>(.*?)</li>', 1, 'is') AS a FROM pages))",
-    f"parts AS (SELECT page_id * 1048576 + pos AS ingest_seq, {_LI_TITLE} AS title, {_LI_COMPANY} AS company, {_LI_URL} AS url, {_LI_CITY} AS city, "
+    f"parts AS (SELECT CAST(CAST(page_id AS HUGEINT) * 2147483648 + pos AS VARCHAR) AS ingest_seq, {_LI_TITLE} AS title, {_LI_COMPANY} AS company, {_LI_URL} AS url, {_LI_CITY} AS city, "
     f"try_strptime({_pick('c', '<time[^>]*datetime=' + chr(34) + '([^' + chr(34) + ']*)')}, '%Y-%m-%d') AS d FROM cards)",
     "SELECT ingest_seq, title, company, url, url AS apply_url, city, 'United Kingdom' AS country, "
     "regexp_extract(rtrim(url, '/'), '([^/-]*)$', 1) AS external_id, "
@@ -195,14 +202,14 @@ _CARD_COLUMNS = ("ingest_seq", "title", "company", "url", "apply_url", "city", "
 @register("src_linkedin_cards", O.query(*_LINKEDIN))
 def _(spark, sf):
     found = sources.map_source(I.landing_of(spark, sf, "linkedin"), "linkedin", CFG)
-    return found.select(*_CARD_COLUMNS, seconds("posting_date"))
+    return found.select(_arrival(), *_CARD_COLUMNS[1:], seconds("posting_date"))
 
 
 _INDEED = (
     "cards AS (SELECT page_id, unnest(range(len(a))) AS pos, unnest(a) AS c FROM (SELECT page_id, (string_split(replace(replace("
     + I.duck_rule(I.CARD_PAGES["indeed"][1])
     + ", '<div class=\"cardOutline job_seen_beacon\">', chr(1)), '<div class=\"job_seen_beacon\">', chr(1)), chr(1)))[2:26] AS a FROM pages))",
-    f"parts AS (SELECT page_id * 1048576 + pos AS ingest_seq, {_pick('c', '(<a [^>]*>)')} AS link, "
+    f"parts AS (SELECT CAST(CAST(page_id AS HUGEINT) * 2147483648 + pos AS VARCHAR) AS ingest_seq, {_pick('c', '(<a [^>]*>)')} AS link, "
     f"{_text(_pick('c', '<a [^>]*>(.*?)</a>'))} AS title, {_pick('c', 'company-name' + chr(34) + '>(.*?)</span>')} AS co, "
     f"{_pick('c', 'text-location' + chr(34) + '>(.*?)</div>')} AS loc, {_pick('c', 'class=' + chr(34) + 'date' + chr(34) + '>(.*?)</span>')} AS age FROM cards)",
     "more AS (SELECT *, replace(regexp_extract(link, 'href=\"([^\"]*)\"', 1), '&amp;', '&') AS href, regexp_extract(link, 'data-jk=\"([^\"]*)\"', 1) AS jk, "
@@ -217,7 +224,7 @@ _INDEED = (
 @register("src_indeed_cards", O.query(*_INDEED))
 def _(spark, sf):
     found = sources.map_source(I.landing_of(spark, sf, "indeed"), "indeed", CFG)
-    return found.select(*_CARD_COLUMNS, seconds("posting_date"))
+    return found.select(_arrival(), *_CARD_COLUMNS[1:], seconds("posting_date"))
 
 
 # --- all boards at once ----------------------------------------------------------------------
@@ -238,7 +245,7 @@ def _(spark, sf):
 @register(
     "quarantined",
     O.query(
-        O.RAW, UNION, "SELECT ingest_seq FROM raw WHERE ingest_seq NOT IN (SELECT ingest_seq // 1048576 FROM all_boards)"
+        O.RAW, UNION, "SELECT ingest_seq FROM raw WHERE ingest_seq NOT IN (SELECT CAST(ingest_seq AS HUGEINT) // 2147483648 FROM all_boards)"
     ).replace("WITH RECURSIVE", "WITH", 1),
 )
 def _(spark, sf):
@@ -259,4 +266,4 @@ _CAPPED = "CASE ingest_seq % 4 WHEN 0 THEN 'linkedin' WHEN 2 THEN 'welcometothej
 )
 def _(spark, sf):
     rows = I.postings(spark, sf).select(F.expr(_CAPPED).alias("source"), "external_id", "ingest_seq")
-    return sources.dedup_and_cap(rows, CFG).select("source", "external_id", "ingest_seq")
+    return sources.dedup_and_cap(rows, replace(CFG, source_caps=SOURCE_CAPS)).select("source", "external_id", "ingest_seq")
