@@ -72,15 +72,15 @@ def parse_answer(content: Column, cfg: Config) -> Column:
 def skills_from_answers(extracted: DataFrame, answers: DataFrame, cfg: Config) -> DataFrame:
     """Replaces ``skills`` by the answer's where one is usable.
 
-    ``answers`` has ``text_hash`` and ``content``; postings with the same text
-    share one answer, so both sides meet on the hash of the text.
+    ``answers`` has ``text_hash``, ``content`` and ``answer_seq``, the order in
+    which answers came; of several usable answers to one text the first counts.
+    Postings with the same text share one answer, so both sides meet on the hash
+    of the text.
     """
-    usable = (
-        answers.select("text_hash", parse_answer(F.col("content"), cfg).alias("_answer"))
-        .where(F.col("_answer").isNotNull())
-        .groupBy("text_hash")
-        .agg(F.min("_answer").alias("_answer"))
+    parsed = answers.select("text_hash", "answer_seq", parse_answer(F.col("content"), cfg).alias("_answer")).where(
+        F.col("_answer").isNotNull()
     )
+    usable = parsed.groupBy("text_hash").agg(F.min_by("_answer", "answer_seq").alias("_answer"))
     return (
         extracted.join(usable, "text_hash", "left")
         .withColumn("from_answer", F.col("_answer").isNotNull())

@@ -1,8 +1,9 @@
 """Stored tables: new postings and companies, the run log, additive schema changes.
 
 A table is a folder of Parquet files with one sub-folder per run. A run writes
-only its own sub-folder and overwrites it when it is repeated, so a retry after
-a failure replaces its own partial result and never touches other runs.
+only its own sub-folders and overwrites them when it is repeated. Its tables are
+read only once its row in ``commits`` is written, which is the last thing a run
+does: postings, companies, skills and rejects appear together or not at all.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +19,22 @@ from hirescope.config import Config
 from hirescope.functions.text import blank_if_null, strip
 from hirescope.operators.dedup import company_upsert
 from hirescope.operators.lookups import new_postings
-from hirescope.schemas import RUN_LOG, STORED_COMPANIES, STORED_KEYS
+from hirescope.operators.normalize import backfill_role
+from hirescope.operators.skills import explode_hits
+from hirescope.schemas import ARRIVAL, RUN_LOG, STORED_COMPANIES, STORED_KEYS
+from hirescope.session import materialize
+
+
+def company_key() -> Column:
+    """Lower-cased, stripped name; null without a name. It is the company's id in every table."""
+    return F.nullif(strip(F.lower(blank_if_null(F.col("company")))), F.lit(""))
 
 
 def store_rows(batch: DataFrame, stored_jobs: DataFrame, cfg: Config) -> DataFrame:
-    """The rows a run adds to the jobs table, with the company key and flags set."""
-    company_key = F.nullif(strip(F.lower(blank_if_null(F.col("company")))), F.lit(""))
+    """The rows a run adds to the jobs table, with the company's id and flags set."""
     return new_postings(batch, stored_jobs, cfg).withColumns(
         {
-            "company_key": company_key,
+            "company_id": company_key(),
             "posting_month": F.coalesce(F.date_format("posting_date", "yyyy-MM"), F.lit("unknown")),
             "is_validated": F.lit(True),
             "is_active": F.lit(True),
@@ -35,34 +43,82 @@ def store_rows(batch: DataFrame, stored_jobs: DataFrame, cfg: Config) -> DataFra
     )
 
 
-def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config) -> dict[str, DataFrame]:
-    """Write one run's new postings and companies under ``root`` and return what was written."""
+def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config, rejects: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Write one run's new postings, companies, skills and rejects under ``root``, publish them
+    together, and return what was written.
+
+    A ``skills`` column of the batch becomes rows of the tables ``job_skills`` and ``skills``.
+    """
     spark = batch.sparkSession
-    jobs_path, companies_path = f"{root}/jobs", f"{root}/companies"
-    stored_jobs = read_table(spark, jobs_path, STORED_KEYS, skip_run=run_id)
-    stored_companies = read_table(spark, companies_path, STORED_COMPANIES, skip_run=run_id)
-    jobs = store_rows(batch, stored_jobs, cfg)
-    jobs.write.mode("overwrite").partitionBy("posting_month").parquet(f"{jobs_path}/run_id={run_id}")
-    written = spark.read.schema(jobs.schema).parquet(f"{jobs_path}/run_id={run_id}")
-    added = company_upsert(written, stored_companies).join(
+    stored_jobs = read_table(spark, root, "jobs", STORED_KEYS, skip_run=run_id)
+    stored_companies = read_table(spark, root, "companies", STORED_COMPANIES, skip_run=run_id)
+
+    def write(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+        path = f"{root}/{name}/run_id={run_id}"
+        df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    rows = store_rows(batch, stored_jobs, cfg)
+    # Rebalanced, so that a month is a few files of good size and a large month still many.
+    written = {"jobs": write(rows.drop("skills", "skill_names").hint("rebalance", "posting_month"), "jobs", "posting_month")}
+    added = company_upsert(written["jobs"], stored_companies).join(
         stored_companies.select("normalized_name"), "normalized_name", "left_anti"
     )
-    added.write.mode("overwrite").parquet(f"{companies_path}/run_id={run_id}")
-    companies = spark.read.schema(added.schema).parquet(f"{companies_path}/run_id={run_id}")
-    return {"jobs": written, "companies": companies}
+    written["companies"] = write(
+        added.select(F.col("normalized_name").alias("company_id"), "normalized_name", "name",
+                     F.lit(None).cast("string").alias("industry"), F.col("first_seq").cast(ARRIVAL).alias("first_seq")),
+        "companies",
+    )
+    if "skills" in batch.columns:
+        of_new = batch.join(written["jobs"].select("ingest_seq"), "ingest_seq", "left_semi")
+        written["job_skills"] = write(explode_hits(of_new, "fingerprint").dropDuplicates(["fingerprint", "skill"]), "job_skills")
+        written["skills"] = write(
+            written["job_skills"].groupBy("skill", "category").agg(F.count(F.lit(1)).alias("frequency")), "skills")
+    if rejects is not None:
+        written["rejects"] = write(rejects, "rejects")
+    publish(spark, root, run_id)
+    return written
+
+
+def write_matches(matches: DataFrame, root: str, run_id: str) -> DataFrame:
+    """The run's ranked matches as its part of the table ``recommendations``."""
+    path = f"{root}/recommendations/run_id={run_id}"
+    matches.write.mode("overwrite").parquet(path)
+    return matches.sparkSession.read.schema(matches.schema).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, skip_run: str | None = None) -> DataFrame:
-    """All runs of a table, or an empty frame if there is none yet."""
-    if not path_exists(spark, path):
+def publish(spark: SparkSession, root: str, run_id: str) -> None:
+    """Make a run's tables readable. One row, written last."""
+    spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/run_id={run_id}")
+
+
+def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType, skip_run: str | None = None) -> DataFrame:
+    """Rows of a table from all published runs, or an empty frame if there is none yet."""
+    path, commits = f"{root}/{name}", f"{root}/commits"
+    if not (path_exists(spark, path) and path_exists(spark, commits)):
         return spark.createDataFrame([], schema)
-    with_run = T.StructType(schema.fields + [T.StructField("run_id", T.StringType())])
-    df = spark.read.schema(with_run).parquet(path)
+    run = T.StructField("run_id", T.StringType())
+    df = spark.read.schema(T.StructType([*schema.fields, run])).parquet(path)
+    published = spark.read.schema(T.StructType([T.StructField("at", T.TimestampType()), run])).parquet(commits)
+    df = df.join(published.select("run_id"), "run_id", "left_semi")
     if skip_run is not None:
         df = df.where(F.col("run_id") != skip_run)
     return df.select(*schema.names)
 
 
+def backfill_table(spark: SparkSession, root: str, run_id: str, cfg: Config) -> int:
+    """Write the stored postings of ``run_id`` anew with the roles their titles have today; how many changed.
+
+    The new rows are written aside first, so the folder is replaced by whole data.
+    """
+    path = f"{root}/jobs/run_id={run_id}"
+    today = materialize(backfill_role(spark.read.parquet(path), cfg), "backfill")
+    changed = today.where("role_changed").count()
+    if changed:
+        today.drop("role_changed").hint("rebalance", "posting_month").write.mode("overwrite").partitionBy("posting_month").parquet(path)
+    return changed
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -17,8 +17,9 @@ from hirescope.operators import store
 from hirescope.operators.export import export_all
 from hirescope.operators.normalize import parse_postings
 from hirescope.operators.skills import explode_names, extract_skills, skill_demand
-from hirescope.operators.validate import accepted, rejected, validate_postings
+from hirescope.operators.validate import accepted, validate_postings
 from hirescope.plans.discovery import discover
+from hirescope.plans.rejects import rejects
 from hirescope.session import materialize
 from hirescope.sources import union_sources
 
@@ -54,24 +55,22 @@ def run(
     started = datetime.now(timezone.utc)
     counts = {"found": 0, "validated": 0, "rejected": 0}
     try:
-        checked = validate_postings(parse_postings(discover(union_sources(landing, cfg), cfg), cfg), cfg)
-        checked = materialize(checked, "validated")
-        totals = checked.agg(
-            F.count(F.lit(1)).alias("found"), F.count_if("is_valid").alias("validated")
-        ).first()
-        counts = {
-            "found": totals["found"], "validated": totals["validated"],
-            "rejected": totals["found"] - totals["validated"],
-        }
+        found = materialize(discover(union_sources(landing, cfg), cfg), "found")
+        checked = materialize(validate_postings(parse_postings(found, cfg), cfg), "validated")
+        # Found is counted before parsing; rows that cannot be parsed count as rejected.
+        counts = {"found": found.count(), "validated": checked.where("is_valid").count(), "rejected": 0}
+        counts["rejected"] = counts["found"] - counts["validated"]
         postings = materialize(with_skills(accepted(checked), cfg, extractor), "postings")
-        store.store_run(postings.drop("skills", "skill_names"), root, run_id, cfg)
+        all_rejects = materialize(rejects(landing, found, checked, cfg), "rejects")
+        store.store_run(postings, root, run_id, cfg, all_rejects)
         names = explode_names(postings, "fingerprint", "country")
         report = materialize(an.analytics_long(postings, names), "analytics")
         matches = rec.rank_matches(rec.match_jobs(postings, profile), 20)
         projects = rec.recommend_projects(project_catalog(spark), postings, skill_demand(names), profile)
+        matches = store.write_matches(matches, root, run_id)
         exports = export_all(postings, report, run_id, f"{root}/reports", matches)
         log(spark, root, run_id, started, "completed", counts, {"exports": exports})
-        return RunResult(run_id, postings, rejected(checked), report, matches, projects, exports, counts)
+        return RunResult(run_id, postings, all_rejects, report, matches, projects, exports, counts)
     except Exception as error:
         log(spark, root, run_id, started, "failed", counts, {"error": str(error)})
         raise

@@ -40,7 +40,12 @@ PROJECTS = struct(
 
 STORED_KEYS = struct(source=STRING, external_id=STRING)
 
-STORED_COMPANIES = struct(normalized_name=STRING, name=STRING, first_seq=LONG)
+STORED_COMPANIES = struct(company_id=STRING, normalized_name=STRING, name=STRING, industry=STRING, first_seq=ARRIVAL)
+
+#: Rejected on the way to the store: what, why, and what is known of it.
+REJECTS = struct(
+    ingest_seq=ARRIVAL, source=STRING, external_id=STRING, title=STRING, posting_date=TIME, reasons=STRINGS,
+)
 
 RUN_LOG = struct(
     run_id=STRING, started_at=TIME, completed_at=TIME, status=STRING, jobs_found=LONG,

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hirescope.config import Config
-from hirescope.operators.dedup import dedup_postings
-from hirescope.operators.filters import filter_entry_level, filter_location
 from hirescope.operators.lookups import store_key
 from hirescope.operators.normalize import parse_postings
-from hirescope.operators.store import read_table, store_rows
+from hirescope.operators.store import store_run
 from hirescope.operators.validate import validate_postings
-from hirescope.schemas import LANDING, STORED_KEYS
+from hirescope.plans.discovery import discover
+from hirescope.plans.rejects import rejects
+from hirescope.schemas import LANDING
 from hirescope.session import materialize
 from hirescope.sources import union_sources
 
@@ -27,27 +27,23 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 def process_batch(raw: DataFrame, cfg: Config) -> DataFrame:
     """One batch of raw postings as validated postings: the same steps as a full run."""
-    unique = dedup_postings(materialize(filter_entry_level(raw, cfg), "stream-batch"))
-    return validate_postings(parse_postings(filter_location(unique, cfg), cfg), cfg)
+    return validate_postings(parse_postings(discover(raw, cfg), cfg), cfg)
 
 
 def ingest(landing: DataFrame, root: str, checkpoint: str, cfg: Config) -> StreamingQuery:
-    """Write new valid postings to ``root/jobs`` and all others to ``root/rejects``.
+    """Write new valid postings and their companies under ``root``, and all others to ``root/rejects``.
 
-    Every batch owns the sub-folder of its number. A batch that is repeated
+    Every batch owns the sub-folders of its number. A batch that is repeated
     after a failure overwrites that folder and compares itself with the other
     batches only, so the result is the same as if it had run once.
     """
     spark = landing.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = materialize(process_batch(union_sources(batch, cfg), cfg), "stream-checked")
-        stored = read_table(spark, f"{root}/jobs", STORED_KEYS, skip_run=str(batch_id))
+        found = materialize(discover(union_sources(batch, cfg), cfg), "stream-found")
+        checked = materialize(validate_postings(parse_postings(found, cfg), cfg), "stream-checked")
         good = checked.where("is_valid").drop("is_valid", "reasons")
-        rows = store_rows(good, stored, cfg)
-        rows.write.mode("overwrite").partitionBy("posting_month").parquet(f"{root}/jobs/run_id={batch_id}")
-        bad = checked.where("NOT is_valid").select("ingest_seq", "source", "external_id", "title", "posting_date", "reasons")
-        bad.write.mode("overwrite").parquet(f"{root}/rejects/run_id={batch_id}")
+        store_run(good, root, str(batch_id), cfg, rejects(batch, found, checked, cfg))
 
     return (
         landing.writeStream.foreachBatch(write)

@@ -175,7 +175,9 @@ def test_answers(spark, make, cfg):
     assert [x["is_required"] for x in got[8]] == [True, False]
 
     posts = make({"title": "Python SQL", "description": ""}, {"title": "Excel", "description": ""}).withColumn("text_hash", answers.text_hash())
-    landed = posts.where("ingest_seq = 0").select("text_hash", F.lit('["dbt"]').alias("content"))
+    # Of several usable answers to one text the first in order of arrival counts.
+    given = spark.createDataFrame([(0, "broken"), (1, '["dbt"]'), (2, '["airflow"]')], "answer_seq INT, content STRING")
+    landed = given.join(posts.where("ingest_seq = 0").select("text_hash"))
     merged = answers.skills_from_answers(skills.extract_skills(posts, cfg), landed, cfg)
     assert [[s["name"] for s in row] for row in column(merged, "skills")] == [["dbt"], ["excel"]]
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF
 from hirescope.config import Profile
-from hirescope.operators import store
+from hirescope.operators import lookups, store
 from hirescope.operators.skills import extract_skills
 from hirescope.plans.run import run
-from hirescope.schemas import RUN_LOG, STORED_KEYS, TIME, struct
+from hirescope.schemas import RUN_LOG, STORED_COMPANIES, STORED_KEYS, TIME, struct
 from hirescope.streaming import counts, ingest
 from workloads import inputs as I
 
@@ -27,7 +27,13 @@ def test_run_end_to_end(spark, landed, cfg, tmp_path):
     result = run(landed, root, cfg, Profile(), run_id="r1")
     assert result.counts["found"] == result.counts["validated"] + result.counts["rejected"] > 0
     assert result.postings.count() == result.counts["validated"]
-    assert result.rejected.count() == result.counts["rejected"]
+    reasons = {r["reasons"][0]: r["count"] for r in result.rejected.groupBy("reasons").count().collect()}
+    assert result.rejected.where("NOT array_contains(reasons, 'unreadable_payload')").count() == result.counts["rejected"]
+    assert reasons["unreadable_payload"] > 0
+    assert spark.read.parquet(f"{root}/rejects").count() == result.rejected.count()
+    skills = spark.read.parquet(f"{root}/job_skills")
+    assert skills.count() == skills.select("fingerprint", "skill").distinct().count() > 0
+    assert spark.read.parquet(f"{root}/recommendations").count() == result.matches.count()
     assert {r["section"] for r in result.analytics.select("section").distinct().collect()} >= {"summary", "top_skills", "country_distribution"}
     assert result.matches.count() <= 20 and result.projects.count() > 0
     jobs = spark.read.parquet(f"{root}/jobs")
@@ -58,8 +64,28 @@ def test_repeated_store_replaces_its_own_rows(spark, make, cfg, tmp_path):
     later = store.store_run(make({"external_id": "2", "company": "X"}, {"external_id": "3", "company": "Y"}), str(tmp_path), "r2", cfg)
     assert [r["external_id"] for r in later["jobs"].collect()] == ["3"]
     assert [r["normalized_name"] for r in later["companies"].collect()] == ["y"]
-    assert store.read_table(spark, f"{tmp_path}/jobs", STORED_KEYS).count() == 3
-    assert store.read_table(spark, f"{tmp_path}/none", STORED_KEYS).count() == 0
+    assert store.read_table(spark, str(tmp_path), "jobs", STORED_KEYS).count() == 3
+    assert store.read_table(spark, str(tmp_path), "none", STORED_KEYS).count() == 0
+
+
+def test_what_is_stored_can_be_listed(spark, make, cfg, tmp_path):
+    root = str(tmp_path)
+    batch = make({"external_id": "1", "title": "Data Analyst", "company": " Acme"}, {"external_id": "2", "title": "b", "company": None})
+    store.store_run(batch, root, "r1", cfg)
+    jobs = spark.read.parquet(f"{root}/jobs")
+    listed = lookups.active_listings(jobs, store.read_table(spark, root, "companies", STORED_COMPANIES))
+    assert {(r["ingest_seq"], r["company"]) for r in listed.collect()} == {(0, " Acme"), (1, "Unknown")}
+    assert (store.backfill_table(spark, root, "r1", cfg), store.backfill_table(spark, root, "r1", cfg)) == (1, 0)
+    assert [r["role_category"] for r in spark.read.parquet(f"{root}/jobs").orderBy("ingest_seq").collect()] == ["analytics", None]
+
+
+def test_unpublished_run_is_not_read(spark, make, cfg, tmp_path):
+    root = str(tmp_path)
+    store.store_run(make({"external_id": "1"}), root, "r1", cfg)
+    rows = make({"external_id": "2"})
+    store.store_rows(rows, rows.where("false"), cfg).write.partitionBy("posting_month").parquet(f"{root}/jobs/run_id=broken")
+    assert [r["external_id"] for r in store.read_table(spark, root, "jobs", STORED_KEYS).collect()] == ["1"]
+    assert store.store_run(make({"external_id": "2"}), root, "r2", cfg)["jobs"].count() == 1
 
 
 def test_add_columns_twice(make):

@@ -156,16 +156,17 @@ _EXPECTED = """CASE ingest_seq % 7
     "skills_from_llm_json",
     O.query(
         O.RAW,
-        f"ans AS (SELECT md5({O.strip(_TEXT_SQL)}) AS h, min({_EXPECTED}) AS e FROM raw GROUP BY 1)",
+        f"given AS (SELECT md5({O.strip(_TEXT_SQL)}) AS h, {_EXPECTED} AS e, ingest_seq FROM raw)",
+        "ans AS (SELECT h, arg_min(e, ingest_seq) AS e FROM given WHERE e IS NOT NULL GROUP BY h)",
         *O.skills("raw"),
         f"hh AS (SELECT *, md5({O.strip(_TEXT_SQL)}) AS h FROM raw)",
         "own AS (SELECT ingest_seq, string_agg(skill || ':' || category || ':' || is_required, '|' ORDER BY n_hits DESC, skill) AS s FROM hits GROUP BY ingest_seq)",
-        "SELECT hh.ingest_seq, coalesce(ans.e, own.s, '') AS skills, ans.e IS NOT NULL AS from_answer FROM hh JOIN ans USING (h) LEFT JOIN own USING (ingest_seq)",
+        "SELECT hh.ingest_seq, coalesce(ans.e, own.s, '') AS skills, ans.e IS NOT NULL AS from_answer FROM hh LEFT JOIN ans USING (h) LEFT JOIN own USING (ingest_seq)",
     ).replace("WITH RECURSIVE", "WITH"),
 )
 def _(spark, sf):
     posts = I.texts(spark, sf).withColumn("text_hash", answers.text_hash())
-    landed = posts.select("text_hash", F.expr(_ANSWER).alias("content"))
+    landed = posts.select("text_hash", F.expr(_ANSWER).alias("content"), F.col("ingest_seq").alias("answer_seq"))
     merged = answers.skills_from_answers(skills.extract_skills(posts, CFG), landed, CFG)
     labels = F.transform("skills", lambda s: F.concat_ws(":", s["name"], s["category"], s["is_required"].cast("string")))
     return merged.select("ingest_seq", joined(labels, "skills"), "from_answer")

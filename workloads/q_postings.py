@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hirescope.functions import dates, numbers, text
 from hirescope.operators import dedup, filters, lookups, normalize, store, validate
 from hirescope.plans import discovery
-from hirescope.session import materialize
+from hirescope.session import materialize, scratch_path
 from hirescope.sources.json_boards import country_from_location, graded_level_from_title, level_from_title
 from workloads import inputs as I
 from workloads import oracle as O
@@ -410,7 +410,7 @@ def _(spark, sf):
     O.query(
         O.RAW, O.parsed("raw"), *O.validated("parsed"), _STORED_SQL,
         "good AS (SELECT * FROM checked WHERE len(reasons) = 0)", _NEW_SQL.replace("FROM raw r", "FROM good r"),
-        f"SELECT ingest_seq, source, external_id, title, nullif(lower({O.strip('company')}), '') AS company_key, "
+        f"SELECT ingest_seq, source, external_id, title, nullif(lower({O.strip('company')}), '') AS company_id, "
         "coalesce(strftime(posting_date, '%Y-%m'), 'unknown') AS posting_month, TRUE AS is_validated FROM fresh",
     ),
 )
@@ -419,8 +419,14 @@ def _(spark, sf):
     good = validate.accepted(validate.validate_postings(parsed, CFG))
     # As in a run: the validated batch is a table before it is compared with the stored keys.
     batch = materialize(good, "store-batch")
-    rows = store.store_rows(batch, stored_keys(spark, sf), CFG)
-    return rows.select("ingest_seq", "source", "external_id", "title", "company_key", "posting_month", "is_validated")
+    root = scratch_path(spark, "store")
+    earlier = stored_keys(spark, sf).withColumn("posting_month", F.lit("unknown"))
+    earlier.write.partitionBy("posting_month").parquet(f"{root}/jobs/run_id=r0")
+    store.publish(spark, root, "r0")
+    store.store_run(batch, root, "r1", CFG)
+    rows = spark.read.parquet(f"{root}/jobs/run_id=r1")
+    return rows.select("ingest_seq", "source", "external_id", "title", "company_id", "posting_month", "is_validated")
+
 
 
 _OLD_ROLE = "CASE ingest_seq % 4 WHEN 0 THEN 'analytics' WHEN 1 THEN 'customer_service' END"

@@ -49,7 +49,7 @@ def mapping(source: str, keep: str, title: str, **columns: str) -> str:
     # Level rules read a column called title.
     level = exprs.pop("experience_level").replace("lower(title)", f"lower({title})")
     picked = ", ".join(f"{e} AS {c}" for c, e in {**exprs, "experience_level": level}.items())
-    return f"SELECT {picked}, CAST(CAST(seq AS HUGEINT) * 2147483648 AS VARCHAR) AS ingest_seq FROM l WHERE {keep}"
+    return f"SELECT {picked}, CAST(seq AS HUGEINT) * 2147483648 AS ingest_seq FROM l WHERE {keep}"
 
 
 def place(t: str) -> str:
@@ -148,6 +148,10 @@ def landed(board: str, source: str = "raw", name: str = "l") -> str:
     return f"{name} AS (SELECT ingest_seq AS seq, {I.duck_rule(context)} AS ctx, {I.duck_json(shape)} AS j FROM {source})"
 
 
+# Arrival numbers are wider than 64 bits.
+_AS_TEXT = "SELECT * REPLACE (CAST(ingest_seq AS VARCHAR) AS ingest_seq) FROM"
+
+
 def _arrival():
     return F.col("ingest_seq").cast("string").alias("ingest_seq")
 
@@ -157,7 +161,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def _register(board: str, key: str) -> None:
-    @register(key, O.query(O.RAW, landed(board), JSON_MAPPINGS[board]))
+    @register(key, O.query(O.RAW, landed(board), f"{_AS_TEXT} ({JSON_MAPPINGS[board]})"))
     def _(spark, sf):
         return tidy(sources.map_source(I.landing_of(spark, sf, board), board, CFG))
 
@@ -237,7 +241,7 @@ _BRANCHES = " UNION ALL BY NAME ".join(
 UNION = f"all_boards AS ({_BRANCHES})"
 
 
-@register("union_sources", O.query(O.RAW, UNION, "SELECT * FROM all_boards").replace("WITH RECURSIVE", "WITH", 1))
+@register("union_sources", O.query(O.RAW, UNION, f"{_AS_TEXT} all_boards").replace("WITH RECURSIVE", "WITH", 1))
 def _(spark, sf):
     return tidy(sources.union_sources(I.landing(spark, sf), CFG))
 
@@ -245,7 +249,7 @@ def _(spark, sf):
 @register(
     "quarantined",
     O.query(
-        O.RAW, UNION, "SELECT ingest_seq FROM raw WHERE ingest_seq NOT IN (SELECT CAST(ingest_seq AS HUGEINT) // 2147483648 FROM all_boards)"
+        O.RAW, UNION, "SELECT ingest_seq FROM raw WHERE ingest_seq NOT IN (SELECT ingest_seq // 2147483648 FROM all_boards)"
     ).replace("WITH RECURSIVE", "WITH", 1),
 )
 def _(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.operators.store import read_table
-from hirescope.schemas import LONG, STRING, STRINGS, TIME, struct
+from hirescope.schemas import ARRIVAL, LONG, STRING, STRINGS, TIME, struct
 from hirescope.session import scratch_path
 from hirescope.streaming import counts, ingest
 from workloads import inputs as I
@@ -44,20 +44,21 @@ def run_ingest(spark, sf) -> str:
     return root
 
 
-@register("stream_ingest", O.query(*_RESULT, "SELECT ingest_seq, source, external_id, title, role_category FROM checked WHERE len(reasons) = 0"))
+@register("stream_ingest", O.query(*_RESULT, "SELECT CAST(ingest_seq AS VARCHAR) AS ingest_seq, source, external_id, title, role_category FROM checked WHERE len(reasons) = 0"))
 def _(spark, sf):
-    columns = struct(ingest_seq=LONG, source=STRING, external_id=STRING, title=STRING, role_category=STRING)
-    return read_table(spark, f"{run_ingest(spark, sf)}/jobs", columns)
+    columns = struct(ingest_seq=ARRIVAL, source=STRING, external_id=STRING, title=STRING, role_category=STRING)
+    jobs = read_table(spark, run_ingest(spark, sf), "jobs", columns)
+    return jobs.withColumn("ingest_seq", F.col("ingest_seq").cast("string"))
 
 
 @register(
     "stream_late",
-    O.query(*_RESULT, "SELECT ingest_seq, source, external_id, title FROM checked WHERE list_contains(reasons, 'too_old')"),
+    O.query(*_RESULT, "SELECT CAST(ingest_seq AS VARCHAR) AS ingest_seq, source, external_id, title FROM checked WHERE list_contains(reasons, 'too_old')"),
 )
 def _(spark, sf):
-    columns = struct(ingest_seq=LONG, source=STRING, external_id=STRING, title=STRING, reasons=STRINGS)
-    rejects = read_table(spark, f"{run_ingest(spark, sf)}/rejects", columns)
-    return ingest.late_postings(rejects).drop("reasons")
+    columns = struct(ingest_seq=ARRIVAL, source=STRING, external_id=STRING, title=STRING, reasons=STRINGS)
+    rejects = read_table(spark, run_ingest(spark, sf), "rejects", columns)
+    return ingest.late_postings(rejects).drop("reasons").withColumn("ingest_seq", F.col("ingest_seq").cast("string"))
 
 
 @register("stream_dedup", O.query(O.RAW, "SELECT DISTINCT source, external_id FROM raw"))
