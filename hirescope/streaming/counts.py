@@ -17,13 +17,19 @@ from hirescope.operators.filters import classify_role
 from hirescope.operators.skills import explode_names, extract_skill_names
 
 
-def windowed_counts(postings: DataFrame, cfg: Config, length: str, slide: str | None = None, lateness: str = "60 days") -> DataFrame:
-    """Postings per window of ``posting_date`` and role. Rows later than ``lateness`` are not counted."""
+def windowed_counts(postings: DataFrame, cfg: Config, length: str, slide: str | None = None, lateness: str | None = None) -> DataFrame:
+    """Postings per window of ``posting_date`` and role.
+
+    Every row counts, however late: the state is one number per window and role,
+    a few hundred a year. A ``lateness`` drops windows from the state once they
+    are that old, and with them rows that come later still.
+    """
     dated = classify_role(postings, cfg).where(F.col("posting_date").isNotNull())
     window = F.window("posting_date", length, slide) if slide else F.window("posting_date", length)
+    if lateness:
+        dated = dated.withWatermark("posting_date", lateness)
     return (
-        dated.withWatermark("posting_date", lateness)
-        .groupBy(window.alias("w"), "role_category")
+        dated.groupBy(window.alias("w"), "role_category")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "role_category", "n")
     )

@@ -114,8 +114,9 @@ def test_stream_in_many_batches_equals_store_rules(spark, landed, cfg, tmp_path)
 
 def test_window_counts_over_batches(spark, make, cfg, tmp_path):
     source = str(tmp_path / "in")
-    days = [1, 2, 3, 9, 2]
-    rows = make(*[{"title": "Data Analyst", "posting_date": datetime(2024, 1, d)} for d in days])
+    # The last one comes more than a year late and still counts.
+    days = [datetime(2024, 1, d) for d in (1, 2, 3, 9, 2)] + [datetime(2022, 11, 5)]
+    rows = make(*[{"title": "Data Analyst", "posting_date": d} for d in days])
     for i in range(len(days)):
         rows.where(F.col("ingest_seq") == i).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)

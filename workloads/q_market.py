@@ -11,6 +11,7 @@ from hirescope.operators import analytics as an
 from hirescope.operators import answers, export, normalize, skills, store, validate
 from hirescope.operators import recommend as rec
 from hirescope.plans.discovery import discover
+from hirescope.schemas import RUN_LOG, conform
 from hirescope.session import scratch_path
 from workloads import inputs as I
 from workloads import oracle as O
@@ -424,7 +425,13 @@ def runs(spark, sf) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("posting_date"),
         (F.col("o_orderstatus") != "P").alias("is_valid"),
     )
-    return store.run_log_from(tagged, "run")
+    # Through the log's own writer: two appends, read back with its schema.
+    path = scratch_path(spark, "runs")
+    log = conform(store.run_log_from(tagged, "run"), RUN_LOG)
+    early = F.col("run_id") < "run-1995"
+    store.append_run(log.where(early), path)
+    store.append_run(log.where(~early), path)
+    return spark.read.schema(RUN_LOG).parquet(path)
 
 
 @register(
@@ -434,7 +441,8 @@ def runs(spark, sf) -> DataFrame:
     "count(*) FILTER (o_orderstatus <> 'P') AS jobs_validated, count(*) FILTER (o_orderstatus = 'P') AS jobs_rejected FROM orders GROUP BY 1",
 )
 def _(spark, sf):
-    return runs(spark, sf).withColumns({"started_at": seconds("started_at"), "completed_at": seconds("completed_at")})
+    log = runs(spark, sf).drop("metadata")
+    return log.withColumns({"started_at": seconds("started_at"), "completed_at": seconds("completed_at")})
 
 
 @register(
@@ -561,8 +569,8 @@ def _catalog_sql() -> str:
     rows, seen = [], {}
     for row in CATALOG:
         seen[row[0]] = seen.get(row[0], 0) + 1
-        terms = "[" + ", ".join(O.lit(s) for s in row[6]) + "]"
-        rows.append(f"({O.lit(row[0])}, {seen[row[0]]}, {O.lit(row[1])}, {O.lit(row[2])}, {O.lit(row[7])}, {row[8]}, {terms})")
+        terms = "[" + ", ".join(O.lit(s) for s in row[3]) + "]"
+        rows.append(f"({O.lit(row[0])}, {seen[row[0]]}, {O.lit(row[1])}, {O.lit(row[2])}, {O.lit(row[4])}, {row[5]}, {terms})")
     return "catalog(role_category, catalog_order, title, industry, difficulty, estimated_hours, skills) AS (VALUES " + ", ".join(rows) + ")"
 
 
