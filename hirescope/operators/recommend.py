@@ -10,6 +10,7 @@ from hirescope import fixed_values as fv
 from hirescope.catalog import catalog_categories
 from hirescope.config import Profile
 from hirescope.functions.numbers import round_even
+from hirescope.functions.stats import top_per_group
 from hirescope.functions.text import blank_if_null, contains_any, lookup
 from hirescope.session import materialize
 
@@ -170,8 +171,8 @@ _MAX_BOOST = 0.15
 # Base-score levels searched one after the other; a user stops at the first level
 # below which nothing can reach their k-th score any more.
 _LEVELS = (0.84, 0.5, 0.25)
-# Postings looked at per step when a user runs out of postings with a shared skill.
-_CHUNK = 10_000
+# Postings of a kind that are looked at first when a user runs out of postings with a shared skill.
+_HEAD = 1_000
 _SALTS = 32
 
 
@@ -321,37 +322,37 @@ def _fill_without_overlap(open_classes: DataFrame, members: DataFrame, best: Dat
     """Adds the best postings that share no skill, for classes that still have room.
 
     Such a posting scores by its boosts alone, so per kind (junior, visa) the
-    first k in order of arrival are enough. The list of each kind is walked in
-    chunks until every class has k or the list ends.
+    first k in order of arrival are enough. Most classes find them among the first
+    ``_HEAD`` postings of a kind. Those that do not know so many skills that few
+    skills are left outside: they are joined with the postings whose first skill is
+    one of these. The number of jobs does not depend on the number of rows.
     """
     listed = members.where(F.size("skill_names") > 0)
-    by_kind = Window.partitionBy("entry", "visa").orderBy("ingest_seq")
-    listed = materialize(listed.withColumn("_n", F.row_number().over(by_kind)), "rec-listed")
-    longest = listed.agg(F.max("_n")).first()[0] or 0
-    found = [best]
-    for kind_entry in (True, False):
-        for kind_visa in (True, False):
-            kind = listed.where((F.col("entry") == kind_entry) & (F.col("visa") == kind_visa))
-            waiting, start = open_classes.withColumn("_have", F.lit(0)), 0
-            while start < longest:
-                chunk = kind.where(F.col("_n").between(start + 1, start + _CHUNK))
-                entries = chunk.agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "skill_names")))).scalar()
-                free = F.filter("_entries", lambda p: ~F.arrays_overlap(p["skill_names"], F.col("_known")))
-                step = waiting.withColumn("_entries", entries).withColumn(
-                    "_free", F.slice(F.transform(free, lambda p: p["ingest_seq"]), 1, k)
-                ).drop("_entries")
-                step = materialize(step, "rec-fill")
-                found.append(
-                    step.select(
-                        "class_id", F.explode("_free").alias("ingest_seq"),
-                        _percent(F.lit(0.0), F.lit(kind_entry), F.col("_junior"), F.lit(kind_visa)).alias("match_score"),
-                    )
-                )
-                waiting = step.withColumn("_have", F.col("_have") + F.size("_free")).where(F.col("_have") < k).drop("_free")
-                start += _CHUNK
-                if start >= longest or waiting.isEmpty():
-                    break
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return _best(result, k).drop("rank")
+    head = top_per_group(listed, ["entry", "visa"], _HEAD, [F.asc("ingest_seq")]).drop("rank")
+    kinds = materialize(
+        head.groupBy("entry", "visa").agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "skill_names"))).alias("list")),
+        "rec-head",
+    )
+    kinds = kinds.agg(F.collect_list(F.struct("entry", "visa", "list"))).scalar()  # at most 4 lists
+    free = F.filter("kind.list", lambda p: ~F.arrays_overlap(p["skill_names"], F.col("_known")))
+    step = open_classes.withColumn("kind", F.explode(kinds)).select(
+        "class_id", "_known", "_junior", "kind.entry", "kind.visa", F.size("kind.list").alias("_seen"),
+        F.slice(F.transform(free, lambda p: p["ingest_seq"]), 1, k).alias("_free"),
+    )
+    step = materialize(step, "rec-fill")
+    score = _percent(F.lit(0.0), F.col("entry"), F.col("_junior"), F.col("visa")).alias("match_score")
+    found = step.select("class_id", F.explode("_free").alias("ingest_seq"), "entry", "visa", "_junior")
+
+    terms = listed.select(F.explode("skill_names").alias("s")).distinct().agg(F.collect_list("s")).scalar()  # the taxonomy
+    short = step.where((F.size("_free") < k) & (F.col("_seen") == _HEAD))
+    outside = short.select("class_id", "_known", "_junior", "entry", "visa", F.explode(F.array_except(terms, F.col("_known"))).alias("_s"))
+    more = (
+        listed.withColumn("_s", F.element_at("skill_names", 1))
+        .join(outside, ["_s", "entry", "visa"])
+        .where(~F.arrays_overlap("skill_names", "_known"))
+        .select("class_id", "ingest_seq", "entry", "visa", "_junior")
+    )
+    more = top_per_group(more, ["class_id", "entry", "visa"], k, [F.asc("ingest_seq")]).drop("rank")
+    # The joined postings hold those already found once more.
+    filled = found.unionByName(more).distinct().select("class_id", "ingest_seq", score)
+    return _best(best.unionByName(filled), k).drop("rank")

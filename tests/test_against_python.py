@@ -78,7 +78,7 @@ def test_many_users(spark, cfg):
 
 
 def test_users_who_share_nothing(spark, cfg, monkeypatch):
-    monkeypatch.setattr(recommend, "_CHUNK", 3)
+    monkeypatch.setattr(recommend, "_HEAD", 3)
     rng = random.Random(13)
     # No posting is without skills, and most share one skill: few users can fill their list by overlap.
     posts = [(i, ["sql"] + rng.sample(["python", "dbt", "excel"], rng.randrange(3)) if i % 5 else ["go", "rust"],
