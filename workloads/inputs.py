@@ -32,6 +32,7 @@ _MICROS = (
 POSTING_RULES = {
     "source": "source",
     "external_id": "CASE WHEN doc_id % 17 = 0 THEN CAST(abs(doc_id - 20) AS {text}) ELSE CAST(doc_id AS {text}) END",
+    # Every third title and company carries words of the text.
     "title": """CASE doc_id % 16
         WHEN 0 THEN 'Junior Data Analyst - Remote'
         WHEN 1 THEN 'Customer Success Associate (EMEA)'
@@ -48,11 +49,13 @@ POSTING_RULES = {
         WHEN 12 THEN 'Trainee SDR (Inbound)'
         WHEN 13 THEN 'SQL Server & Python Data Engineer Intern'
         WHEN 14 THEN 'Customer Support Agent (Zendesk) - Part time'
-        ELSE 'Entry Level Financial Analyst' END""",
+        ELSE 'Entry Level Financial Analyst' END ||
+        CASE WHEN doc_id % 3 = 1 THEN ' ' || replace(right(coalesce(text, ''), 24), chr(10), ' ') ELSE '' END""",
     "company": f"""CASE WHEN doc_id % 97 = 0 THEN '' WHEN doc_id % 29 = 0 THEN 'Acme Staffing Agency'
         WHEN doc_id % 13 = 0 THEN 'Company ' || CAST({_CIDX} AS {{text}}) || ', Inc.'
         WHEN doc_id % 19 = 0 THEN ' COMPANY ' || CAST({_CIDX} AS {{text}}) || ' '
-        ELSE 'Company ' || CAST({_CIDX} AS {{text}}) END""",
+        ELSE 'Company ' || CAST({_CIDX} AS {{text}}) END ||
+        CASE WHEN doc_id % 3 = 2 AND doc_id % 4 <> 0 AND doc_id % 11 <> 0 THEN ' ' || substr(coalesce(text, ''), 1, 12) ELSE '' END""",
     "company_id": f"CAST({_CIDX} AS BIGINT)",
     "url": """CASE WHEN doc_id % 31 = 0 THEN 'ftp://x/' || CAST(doc_id AS {text}) WHEN doc_id % 53 = 0 THEN 'http://x'
         WHEN doc_id % 59 = 0 THEN '' ELSE 'https://jobs.example.com/' || CAST(doc_id AS {text}) END""",
