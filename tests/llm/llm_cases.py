@@ -1,3 +1,5 @@
+"""Fixtures and edge cases of these tests."""
+
 import os
 import sys
 

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import EDGES
+from llm_cases import EDGES, docs  # noqa: F401  (docs is a fixture)
 from pyspark.sql import functions as F
 
 import corpus_pipeline
