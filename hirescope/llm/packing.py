@@ -40,7 +40,7 @@ from hirescope.session import materialize
 SEQUENCE = 2048
 SEPARATOR = 0
 #: Most words whose ids one worker remembers.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 250_000
 
 
 # The vocabulary's pattern for printable ASCII in lower case (fixed).
