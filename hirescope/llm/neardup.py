@@ -45,7 +45,7 @@ RUNS = 8
 DEPTH = 3
 LEAF = 64
 BLOCK = 256
-WORD_MEMORY = 400_000
+WORD_MEMORY = 200_000
 _GRAM_BYTES = 6
 _MINIMA = [f"m{i}" for i in range(COORDINATES)]
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(b"order", seed=i) | 1 for i in range(COORDINATES)], np.uint64)
@@ -144,7 +144,9 @@ def leaves(reps: DataFrame) -> DataFrame:
     for level in range(DEPTH):
         sizes = rows.groupBy("path").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x0"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x1"))
-        met = materialize(rows.join(sizes.where("n > 1"), "path"), "paths")
+        # Written, so that both sides of the join are plain exchanges and Spark can split a node that
+        # very many sets reach (those that share a very common passage).
+        met = materialize(rows.join(materialize(sizes.where("n > 1"), "path-sizes"), "path"), "paths")
         done = met if level == DEPTH - 1 else met.where(F.col("n") <= LEAF)
         found = done if found is None else found.unionByName(done)
         if level < DEPTH - 1:
