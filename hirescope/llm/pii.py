@@ -3,7 +3,9 @@
 One Aho-Corasick pass finds anchors: at-signs, URL schemes and identifier cues.
 From each anchor a deterministic local parser reads outward and validates what it
 found: e-mail boundaries around an at-sign, the authority and path after a scheme,
-the value after a cue such as ``password=`` or ``iban``. Numbers have no cue, so
+the value after a cue such as ``password=`` or ``iban``. A cue may end a longer
+name (``db_password``, ``x-api-key``) and stand in quotes; only a letter or digit
+before it makes it part of another word. Numbers have no cue, so
 IP addresses, cards and phone numbers anchor on their own digits: a maximal chain
 is taken once and validated (parts at most 255; 12 to 19 digits passing Luhn; 9 to
 15 digits), and dropped whole if it fails. All parsers take time in proportion to
@@ -36,6 +38,10 @@ CUES = {
     "@": "email", "http://": "url", "https://": "url", "ftp://": "url",
     "password": "secret", "passwd": "secret", "secret": "secret", "api_key": "secret", "apikey": "secret",
     "access_token": "secret", "auth_token": "secret", "akia": "key_id",
+    "api-key": "secret", "access-token": "secret", "auth-token": "secret", "accesstoken": "secret", "authtoken": "secret",
+    "access_key": "secret", "access-key": "secret", "accesskey": "secret", "secretaccesskey": "secret",
+    "secret_key": "secret", "secret-key": "secret", "secretkey": "secret", "clientsecret": "secret",
+    "private_key": "secret", "private-key": "secret", "privatekey": "secret",
     "iban": "iban", "ssn": "ssn", "account": "account", "passport": "account",
 }
 
@@ -45,11 +51,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_VALUE = re.compile(r"\s?[=:]\s?[\"']?([^\s\"',;]{6,})")
+#: A key between PEM marks has no hyphen, so that looking for its end takes linear time.
+_VALUE = re.compile(r"[\"']?\s?[=:]\s?[\"']?(-----BEGIN [A-Z ]+-----[^-]+-----END [A-Z ]+-----|[^\s\"',;]{6,})")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-_IBAN = re.compile(r"[\s:=#.-]{0,3}([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])")
-_SSN = re.compile(r"[\s:=#.-]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_NUMBER = re.compile(r"\s?(?:number|no\.?|nr\.?|id)?[\s:=#]{0,3}([A-Z]{0,3}[0-9][0-9 -]{5,20}[0-9])(?![0-9A-Za-z])", re.IGNORECASE)
+_IBAN = re.compile(r"[\"']?[\s:=#.-]{0,3}[\"']?([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])")
+_SSN = re.compile(r"[\"']?[\s:=#.-]{0,3}[\"']?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_NUMBER = re.compile(r"[\s_-]?(?:number|no\.?|nr\.?|id)?[\"']?[\s:=#]{0,3}[\"']?([A-Z]{0,3}[0-9][0-9 -]{5,20}[0-9])(?![0-9A-Za-z])", re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
@@ -92,7 +99,7 @@ def _numbers(text: str) -> Iterator[Span]:
 
 
 def _word_before(text: str, at: int) -> bool:
-    return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
+    return at > 0 and text[at - 1].isalnum()
 
 
 def find(text: str) -> list[Span]:

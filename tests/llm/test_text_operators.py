@@ -278,6 +278,22 @@ def test_pii_added_spans_and_masks(spark, docs):
     assert (masked[1]["pii_masked"], masked[2]["pii_masked"]) == (None, "clean text, 3.5 km")
 
 
+@pytest.mark.parametrize(("text", "value"), [
+    ("db_password=hunter2hunter", "hunter2hunter"), ("client_secret: q8w7e6r5", "q8w7e6r5"), ("OPENAI_API_KEY=sk-abc123def", "sk-abc123def"),
+    ("GITHUB_ACCESS_TOKEN=ghp_0a1b2c3d", "ghp_0a1b2c3d"), ("x-api-key: 0a1b2c3d", "0a1b2c3d"), ("customer_account: 12345678", "12345678"),
+    ('{"password": "hunter2hunter"}', "hunter2hunter"), ("{'account_number': '12345678'}", "12345678"), ('"ssn": "123-45-6789"', "123-45-6789"),
+    ('"iban": "DE89370400440532013000"', "DE89370400440532013000"), ("aws_secret_access_key=wJalrXUtnFEMI/K7", "wJalrXUtnFEMI/K7"),
+    ('"private_key": "-----BEGIN RSA PRIVATE KEY-----\nMIIE ab/+\n-----END RSA PRIVATE KEY-----"',
+     "-----BEGIN RSA PRIVATE KEY-----\nMIIE ab/+\n-----END RSA PRIVATE KEY-----"),
+    ("compassword=hunter2hunter", None), ("the secret of it", None)])
+def test_pii_cue_at_the_end_of_a_name_or_in_quotes(text, value):
+    assert [text[a:b] for kind, a, b in pii.find(text) if kind in ("secret", "account")] == ([value] if value else [])
+
+
+def test_pii_key_marks_take_linear_time():
+    assert isinstance(pii.find("private_key: -----BEGIN A-----" * 20_000 + "x" * 200_000), list)
+
+
 def test_pii_digest(spark, docs):
     rows = [*EDGES, (50, "x@y.zz 10.0.0.1")]
     got = {r["doc_id"]: r for r in pii.digest(docs(*rows)).collect()}
