@@ -3,10 +3,9 @@
 Base rules reject documents under ``MIN_WORDS`` words or with more than half of
 their words in repeated 3-word windows. The rest is judged by its lines: each
 line with a word is normalised (lower case, digits as one sign, words joined by
-single blanks) and hashed; per host the number of different documents (by the hash of
-their lines, so that copies count once) that hold it is counted, and lines held by
-more than ``MAX_DOCUMENTS`` of them are removed from all but the first of these
-documents. A document is depleted, and rejected, if less than ``MIN_LEFT`` of its
+single blanks) and hashed; per host the documents that hold it are counted (each copy
+of a page is one), and lines held by more than ``MAX_DOCUMENTS`` of them are removed
+from all but the first of these documents and those with the same lines. A document is depleted, and rejected, if less than ``MIN_LEFT`` of its
 words stay. So of any group of documents alike, however large, one is left for
 de-duplication. Nothing is sampled or capped; hot lines and hosts are summed in
 two steps (line and document, then line).
@@ -105,11 +104,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line, first): lines held by more than ``max_documents`` different documents of the host,
+    """(host, line, first): lines held by more than ``max_documents`` documents of the host,
     and the content of the first of them."""
     line = facts.select("host", F.explode("lines.line").alias("line"), "content", "doc_row")
-    holders = line.groupBy("host", "line", "content").agg(F.min("doc_row").alias("row"))
-    counted = holders.groupBy("host", "line").agg(F.count("*").alias("n"), F.min_by("content", "row").alias("first"))
+    holders = line.groupBy("host", "line", "content").agg(F.min("doc_row").alias("row"), F.count("*").alias("copies"))
+    counted = holders.groupBy("host", "line").agg(F.sum("copies").alias("n"), F.min_by("content", "row").alias("first"))
     return counted.where(F.col("n") > max_documents).drop("n")
 
 

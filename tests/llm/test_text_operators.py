@@ -135,6 +135,16 @@ def test_quality_removes_lines_of_many_documents(spark, docs):
     assert sum(r["kept"] for r in quality.judge(docs(*near), max_documents=8).collect()) >= 1
 
 
+def test_quality_counts_copies_of_one_page_as_documents(spark, docs):
+    rng = random.Random(6)
+    menu = clean(rng, 60)
+    page = f"{menu}\n{clean(rng, 60)}"
+    rows = [*[(i, page) for i in range(8)], *[(100 + i, f"{menu}\n{clean(rng, 5)}") for i in range(3)]]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(*rows).coalesce(1), max_documents=8).collect()}
+    # The line of the menu stands in eleven documents; the page that has it first keeps it.
+    assert {i for i, kept in got.items() if kept} == set(range(8))
+
+
 def test_quality_of_nothing(docs):
     assert quality.judge(docs()).count() == 0
 
