@@ -4,12 +4,14 @@ Every document becomes its set of hashed 5-grams (lower-cased words; a shorter
 text is one gram of all its words). Documents with equal sets form a copy class
 and one of them stands for it. Representatives carry ``COORDINATES`` minima of
 independent hash orders; such a minimum is a sampled token, and two sets share it
-with a probability equal to their similarity. In each of ``RUNS`` independent runs
-a set follows paths: at a node one coordinate, and with probability 1/4 a second
-one, is chosen by the node's hash, and the node's sets are split by their values
-there. Nodes of up to ``LEAF`` sets are leaves, larger ones are split again, up to
-``DEPTH`` times. A pair of similarity 0.8 is separated in all runs with a
-probability under 0.002, one of 0.9 under 0.00001 (README).
+with a probability equal to their similarity. In each of ``RUNS`` runs a set
+follows paths: at a node one coordinate, and with probability 1/4 (by the node's
+hash) a second one, is taken, and the node's sets are split by their values there.
+Nodes of up to ``LEAF`` sets are leaves, larger ones are split again, up to
+``DEPTH`` times. Every run and place in it has orders of its own, so ``separated``
+to the power of ``RUNS`` is the probability that all runs separate a pair whose
+nodes are all split; there are as many runs as pairs of ``SIMILARITY`` need for
+``RECALL``: eight, which miss 0.00094 at 0.8 and 0.0000057 at 0.9.
 
 At a leaf all pairs are compared by their whole sets, so every reported link is
 exact. Leaves with equal members are compared once, and a pair that meets in
@@ -27,6 +29,7 @@ length are taken whole.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +43,28 @@ from hirescope.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-COORDINATES = 16
-RUNS = 8
+#: Of the pairs at exactly ``SIMILARITY`` whose nodes are large at every step, the share that must meet.
+RECALL = 0.999
 DEPTH = 3
 LEAF = 64
 BLOCK = 256
 WORD_MEMORY = 200_000
 _GRAM_BYTES = 6
+
+
+def separated(similarity: float, depth: int = DEPTH) -> float:
+    """Probability that one run separates a pair in nodes that are split ``depth`` times."""
+    meets = 1.0
+    for _ in range(depth - 1):
+        step = similarity * meets
+        meets = 0.75 * step + 0.25 * (1 - (1 - step) ** 2)
+    return 1 - similarity * meets
+
+
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(separated(SIMILARITY)))
+#: A root and two children to each place of a run but the last ones.
+PLACES = (1 << DEPTH) - 1
+COORDINATES = RUNS * PLACES
 _MINIMA = [f"m{i}" for i in range(COORDINATES)]
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(b"order", seed=i) | 1 for i in range(COORDINATES)], np.uint64)
 
@@ -92,7 +110,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SETS = "row long, doc_id long, tag long, hash long, n long, c0 long, c1 long, " + ", ".join(f"{m} long" for m in _MINIMA)
+_SETS = "row long, doc_id long, tag long, hash long, n long, c0 long, c1 long, " + ", ".join(f"{m} int" for m in _MINIMA)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     minima[i, k] = (a * _FACTORS[k]).min()
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:4], *[pa.array(head[:, k]) for k in range(3)],
-             *[pa.array(minima[:, k].astype(np.int64)) for k in range(COORDINATES)]],
+             *[pa.array(minima[:, k].astype(np.uint32).view(np.int32)) for k in range(COORDINATES)]],
             names=["row", "doc_id", "tag", "hash", "n", "c0", "c1", *_MINIMA])
 
 
@@ -122,24 +140,23 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, tag: str | None)
                                    F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sets, _SETS), "gram-sets")
 
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Paths one step on: (rep, path) and the minima -> (rep, path) by the node's coordinates."""
-    spin = F.xxhash64("path", F.lit(level))
-    minima = F.array(*_MINIMA)
-    first = F.pmod(spin, F.lit(COORDINATES)).cast("int")
-    second = F.pmod(F.shiftright(spin, 20) + first + 1, F.lit(COORDINATES)).cast("int")
-    two = F.pmod(F.shiftright(spin, 40), F.lit(4)) == 0
-    picks = F.when(two & (first != second), F.array(first, second)).otherwise(F.array(first))
-    return (rows.select("rep", "path", minima.alias("_m"), F.explode(picks).alias("_c"))
-            .select("rep", F.xxhash64("path", "_c", F.element_at("_m", F.col("_c") + 1)).alias("path")))
+def _children(rows: DataFrame) -> DataFrame:
+    """Paths one step on: (rep, path, place) and the minima -> (rep, path, place) by the coordinates of the places."""
+    run, at = F.floor(F.col("place") / PLACES), F.pmod("place", F.lit(PLACES))
+    first = (run * PLACES + 2 * at + 1).cast("int")
+    two = F.pmod(F.xxhash64("path", F.lit(0)), F.lit(4)) == 0
+    picks = F.when(two, F.array(first, first + 1)).otherwise(F.array(first))
+    return (rows.select("rep", "path", F.array(*_MINIMA).alias("_m"), F.explode(picks).alias("place"))
+            .select("rep", F.xxhash64("path", "place", F.element_at("_m", F.col("place") + 1)).alias("path"), "place"))
 
 
 def leaves(reps: DataFrame) -> DataFrame:
     """(rep, path, n): in which leaves a representative must be compared, and how many are there."""
     slim = reps.select("rep", *_MINIMA)
-    # The root of run r chooses coordinate r, so the runs' first steps are independent.
-    roots = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r, F.element_at(F.array(*_MINIMA), r + 1)))
-    rows = slim.select("rep", F.explode(roots).alias("path"))
+    # A coordinate is a place of a run; the root of run r is place r * PLACES.
+    roots = F.array(*[F.struct(F.xxhash64(F.lit(r), _MINIMA[r * PLACES]).alias("path"), F.lit(r * PLACES).alias("place"))
+                      for r in range(RUNS)])
+    rows = slim.select("rep", F.explode(roots).alias("_r")).select("rep", "_r.path", "_r.place")
     found = None
     for level in range(DEPTH):
         sizes = rows.groupBy("path").agg(
@@ -150,7 +167,7 @@ def leaves(reps: DataFrame) -> DataFrame:
         done = met if level == DEPTH - 1 else met.where(F.col("n") <= LEAF)
         found = done if found is None else found.unionByName(done)
         if level < DEPTH - 1:
-            rows = _children(met.where(F.col("n") > LEAF).select("rep", "path").join(slim, "rep"), level)
+            rows = _children(met.where(F.col("n") > LEAF).select("rep", "path", "place").join(slim, "rep"))
     # Of leaves with the same members one is compared.
     first = found.groupBy("n", "x0", "x1").agg(F.min("path").alias("path")).select("path")
     return found.select("rep", "path", "n").distinct().join(first, "path", "left_semi")

@@ -86,6 +86,23 @@ def test_large_near_group_is_whole(spark, docs, monkeypatch):
     assert sum(r["n_links"] for r in got) >= 0.999 * 120 * 119
 
 
+def test_pairs_at_the_least_similarity_meet(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    rng = random.Random(8)
+    words = noise(rng, 184)
+    rows = []
+    for i in range(160):
+        own = list(words)
+        # Ten grams of 180 differ in each: 160 of 200 are shared where they are apart.
+        at = 4 + rng.randrange(176)
+        own[at], own[4 + (at + 30) % 176] = f"v{i}", f"w{i}" if i % 4 else own[4 + (at + 30) % 176]
+        rows.append((i, " ".join(own)))
+    want = sum(n for *_, n in by_brute_force(rows))
+    got = sum(r["n_links"] for r in neardup.near_duplicates(docs(*rows)).collect())
+    assert neardup.separated(neardup.SIMILARITY) ** neardup.RUNS <= 1 - neardup.RECALL
+    assert want > 10_000 and 0.998 * want <= got <= want
+
+
 def test_near_duplicate_edges(spark, docs):
     got = [(r["doc_id"], r["n_links"]) for r in neardup.near_duplicates(docs(*EDGES)).collect()]
     assert Counter(got) == Counter([(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (None, 0), (5, 0), (6, 0), (7, 0), (8, 0)])
