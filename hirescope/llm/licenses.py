@@ -5,8 +5,10 @@ tried where a stretch of the text about as long as the template holds enough of
 its words. Stretch and template are then aligned: words that occur once in both
 are anchors, the longest increasing subsequence of anchors is kept, and the gaps
 between them are aligned the same way, after equal words at both ends are taken
-off. Coverage is the share of the template's words that are aligned. Where
-several templates fit one place, the one with most aligned words is reported.
+off. Coverage is the share of the template's words that are aligned. All
+words that tell licenses apart (names, versions, NC, SA, ND) must be aligned, with
+no other such word between. Full texts of Apache-2.0, GPL, LGPL, AGPL, MPL, CC0 and
+Unlicense are not among the templates. Where several templates fit one place, the one with most aligned words is reported.
 
 Cases: a null or blank text has no license; repeated rows give repeated results;
 a license that stands twice in a text is reported twice; the place of a template
@@ -71,6 +73,30 @@ TEMPLATES = {
         "details."),
 }
 
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_3 = (" 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission.")
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + _BSD_3 + _BSD_END
+TEMPLATES["BSD-2-Clause"] += _BSD_END
+TEMPLATES["BSD-notice"] = "Released under the BSD License."
+for _name, _words in {"GPL-2.0": ("General", "2"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"),
+                      "AGPL-3.0": ("Affero General", "3")}.items():
+    for _kind in ("notice", "header"):
+        TEMPLATES[f"{_name}-{_kind}"] = TEMPLATES[f"GPL-3.0-{_kind}"].replace("General", _words[0]).replace(
+            "version 3", f"version {_words[1]}")
+for _variant in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    TEMPLATES[f"CC-{_variant}-4.0-short-notice"] = f"Licensed under CC {_variant} 4.0."
+#: Words that tell licenses apart: a place must align those of its template and hold no other between.
+IDENTIFYING = frozenset("mit bsd apache lesser library affero mozilla gpl lgpl agpl mpl by nc sa nd noncommercial sharealike "
+                        "noderivatives noderivs endorse".split())
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -125,6 +151,10 @@ class Scanner:
         self.templates = {name: words_of(text) for name, text in sorted(templates.items())}
         self.number = {w: i for i, w in enumerate(sorted({w for t in self.templates.values() for w in t}))}
         self.own = {}
+        # Numbers are versions but in the clauses of longer texts; "by" tells only the short names of Creative Commons apart.
+        self.telling = {name: IDENTIFYING if "cc" in words else IDENTIFYING - {"by"} for name, words in self.templates.items()}
+        self.marks = {name: {w for w in words if w in self.telling[name] or w.isdigit() and not name.startswith("BSD")}
+                      for name, words in self.templates.items()}
         for name, words in self.templates.items():
             held = np.zeros(len(self.number) + 1, bool)
             held[[self.number[w] for w in words]] = True
@@ -145,6 +175,13 @@ class Scanner:
                 kept.append(place)
         return sorted(kept, key=lambda p: p[1])
 
+    def _named(self, name: str, stretch: list[str], aligned: list[str]) -> bool:
+        """Whether all identifying words of the template are aligned and the stretch has no others."""
+        marks = self.marks[name]
+        versions = any(m.isdigit() for m in marks)
+        return marks <= set(aligned) and not any(
+            w not in marks and (w in self.telling[name] or versions and w.isdigit() and w != "0") for w in stretch)
+
     def _places(self, name: str, template: list[str], words: list[str], ids: np.ndarray) -> list[tuple]:
         size = len(template)
         need = int(np.ceil(self.coverage * size - 1e-9))
@@ -162,7 +199,7 @@ class Scanner:
                 continue
             stop = min(len(words), start + reach)
             pairs = align(words[start:stop], template)
-            if len(pairs) >= need:
+            if len(pairs) >= need and self._named(name, words[start + pairs[0][0] : start + pairs[-1][0] + 1], [template[j] for _, j in pairs]):
                 first, last = start + pairs[0][0], start + pairs[-1][0] + 1
                 out.append((name, first, last, len(pairs), len(pairs) / size))
                 done = last

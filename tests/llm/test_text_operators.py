@@ -334,6 +334,17 @@ def test_license_in_a_text(spark, docs):
     assert licenses.digest(docs()).count() == 0
 
 
+@pytest.mark.parametrize(("text", "names"), [
+    ("Released under the BSD License.", ["BSD-notice"]), ("Released under the Foo License.", []),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0-short-notice"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-short-notice"]), ("Licensed under CC BY-NC 3.0.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    *[(licenses.TEMPLATES[n], [n]) for n in sorted(licenses.TEMPLATES)]])
+def test_license_names_are_those_of_the_text(text, names):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    assert [p[0] for p in scanner.scan(text)] == names
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(11)
     for _ in range(300):
