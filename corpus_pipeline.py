@@ -1,8 +1,8 @@
 """The corpus pipeline: documents -> identified, filtered, de-duplicated, masked, packed.
 
 Each stage takes all rows that the one before kept. A stage that drops rows works
-on slim columns and marks a row by its id and a 64-bit hash of its text; the whole
-rows are joined with the marks of those that stay. Rows alike in both are repeated
+on slim columns and marks a row by its id and a 64-bit hash of its text and source; the
+whole rows are joined with the marks of those that stay. Rows alike in all are repeated
 rows: a filter treats them alike, de-duplication leaves one.
 
 Cases: see the operators. A null text has no letter and goes in the first stage;
@@ -30,7 +30,7 @@ def _vocabulary() -> str:
 
 
 def _hash() -> Column:
-    return F.xxhash64("text", F.col("doc_id").isNull(), F.col("text").isNull())
+    return F.xxhash64("text", "source", F.col("doc_id").isNull(), F.col("text").isNull(), F.col("source").isNull())
 
 
 def _staying(docs: DataFrame, kept: DataFrame) -> DataFrame:

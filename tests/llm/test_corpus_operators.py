@@ -297,6 +297,12 @@ def by_brute_force_in_order(rows):
     return [(i, c, want[i, c]) for i, *_ in rows for (a, c) in want if a == i]
 
 
+def test_marks_tell_sources_apart(spark, docs):
+    table = docs((1, "same text", "en", "a"), (1, "same text", "en", "b"), (1, "same text", "en", None))
+    kept = table.where("source = 'b'").select("doc_id", corpus_pipeline._hash().alias("tag"))
+    assert [r["source"] for r in corpus_pipeline._staying(table, kept).collect()] == ["b"]
+
+
 def test_stages_keep_the_columns(spark, docs, tmp_path):
     table = docs(*corpus(), *EDGES).withColumnsRenamed({}).withColumn("Score", F.lit("own"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
