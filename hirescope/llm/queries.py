@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, pii, pst, quality, topk
+from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, pii, pst, quality, simhash, topk
 from hirescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.score(docs, tree, counts).select(
         "doc_id", pst.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+
+
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
