@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, pii, pst, quality, simhash, topk
+from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, pii, pst, quality, simhash, topk, trie
 from hirescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,47 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.crossed(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op13_prefix_trie"] = """
+WITH said AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key,
+    strlen(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id AS c, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: CAST(x AS BIGINT))),
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+rebuilt AS (
+  SELECT c, place, turn_key, size FROM convs JOIN said ON said.conv_id = c AND place >= h
+  UNION ALL SELECT c, place, turn_key, size FROM convs JOIN said ON said.conv_id = c - c % 5 AND place < h),
+seqs AS (
+  SELECT convs.c, coalesce(string_agg(turn_key, '' ORDER BY place), '') AS seq,
+    coalesce(list(size ORDER BY place) FILTER (size IS NOT NULL), []) AS sizes
+  FROM convs LEFT JOIN rebuilt ON rebuilt.c = convs.c GROUP BY convs.c),
+members AS (
+  SELECT c, d, left(seq, 32 * d) AS prefix, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(sizes) AS ends
+  FROM (SELECT *, unnest(range(CAST(len(sizes) + 1 AS BIGINT))) AS d FROM seqs)),
+nodes AS (
+  SELECT prefix, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+    left(prefix, 32 * (d - 1)) AS parent
+  FROM members GROUP BY prefix, d),
+children AS (SELECT parent, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent),
+below AS (
+  SELECT left(u.prefix, 32 * u.k) AS top, sum(u.saved) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(CAST(d + 1 AS BIGINT))) AS k FROM nodes) u LEFT JOIN children ON children.parent = u.prefix GROUP BY top)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs,
+  CAST(coalesce(children.n, 0) AS BIGINT) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN below ON below.top = v.prefix LEFT JOIN children ON children.parent = v.prefix
+LEFT JOIN nodes p ON v.d > 0 AND p.prefix = v.parent
+"""
