@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, pii, pst, quality, simhash, topk, trie
+from hirescope.llm import bpe, chat, langid, licenses, neardup, packing, periodic, pii, pst, quality, simhash, topk, trie
 from hirescope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.with_repeated_tails(table(spark, sf_dir, "documents")))
+
+
 @_query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.crossed(trie.numbered(table(spark, sf_dir, "conversations"))))
