@@ -52,7 +52,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 #: A key between PEM marks has no hyphen, so that looking for its end takes linear time.
-_VALUE = re.compile(r"[\"']?\s?[=:]\s?[\"']?(-----BEGIN [A-Z ]+-----[^-]+-----END [A-Z ]+-----|[^\s\"',;]{6,})")
+_VALUE = re.compile(r"-----BEGIN [A-Z ]+-----[^-]+-----END [A-Z ]+-----|[^\s\"',;]{6,}")
+#: What stands between a cue and its value.
+_EQUALS = re.compile(r"[\"']?\s?[=:]\s?[\"']?")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[\"']?[\s:=#.-]{0,3}[\"']?([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])")
 _SSN = re.compile(r"[\"']?[\s:=#.-]{0,3}[\"']?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
@@ -85,7 +87,8 @@ def iban_valid(text: str) -> bool:
 
 def _numbers(text: str) -> Iterator[Span]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -111,26 +114,29 @@ def find(text: str) -> list[Span]:
     ends = dict.fromkeys(KINDS, 0)  # where the last span of a kind ended
     for last, (length, parser) in _anchors().iter(folded):
         at, after = last + 1 - length, last + 1
+        found = None
         if parser == "email":
-            m = _DOMAIN.match(text, at)
-            start = at
-            while start > ends["email"] and text[start - 1] in _LOCAL:
+            m, start = _DOMAIN.match(text, at), at
+            while m and start > ends["email"] and text[start - 1] in _LOCAL:
                 start -= 1
-            found = ("email", start, m.end()) if m and start < at else None
+            found = ("email", start, m.end()) if start < at else None
+        elif _word_before(text, at):
+            continue
         elif parser == "url":
-            m = _URL.match(text, after)
-            end = after + len(m[0].rstrip(".,;:!?)]")) if m else after
-            found = ("url", at, end) if end > after and not _word_before(text, at) else None
+            # Inside a span of its kind nothing is read again, here and for secrets: so all reading is linear.
+            if at >= ends["url"] and (m := _URL.match(text, after)):
+                end = after + len(m[0].rstrip(".,;:!?)]"))
+                found = ("url", at, end) if end > after else None
         elif parser == "secret":
-            m = _VALUE.match(text, after)
-            found = ("secret", m.start(1), m.end(1)) if m and not _word_before(text, at) else None
+            m = _EQUALS.match(text, after)
+            if m and m.end() >= ends["secret"] and (m := _VALUE.match(text, m.end())):
+                found = ("secret", m.start(), m.end())
         elif parser == "key_id":
             m = _KEY_ID.match(text, at)
-            found = ("secret", at, m.end()) if m and not _word_before(text, at) else None
+            found = ("secret", at, m.end()) if m else None
         else:
             m = {"iban": _IBAN, "ssn": _SSN, "account": _NUMBER}[parser].match(text, after)
-            fine = m and not _word_before(text, at) and (parser != "iban" or iban_valid(m[1]))
-            found = ("account", m.start(1), m.end(1)) if fine else None
+            found = ("account", m.start(1), m.end(1)) if m and (parser != "iban" or iban_valid(m[1])) else None
         if found and found[1] >= ends[found[0]]:
             spans.append(found)
             ends[found[0]] = found[2]
