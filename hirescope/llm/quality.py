@@ -5,9 +5,11 @@ their words in repeated 3-word windows. The rest is judged by its lines: each
 line with a word is normalised (lower case, digits as one sign, words joined by
 single blanks) and hashed; per host the documents that hold it are counted (each copy
 of a page is one), and lines held by more than ``MAX_DOCUMENTS`` of them are removed
-from all but the first of these documents and those with the same lines. A document is depleted, and rejected, if less than ``MIN_LEFT`` of its
-words stay. So of any group of documents alike, however large, one is left for
-de-duplication. Nothing is sampled or capped; hot lines and hosts are summed in
+from all but the first of these documents, by id and then text, and its exact copies. A
+document is depleted, and rejected, if less than ``MIN_LEFT`` of its words stay. So of a group of
+documents with the same lines, however large and whatever their numbers, one text is left,
+and its copies for de-duplication. The verdict hangs on ids and texts alone, not on how the
+table is cut. Nothing is sampled or capped; hot lines and hosts are summed in
 two steps (line and document, then line).
 
 Cases: a null or blank text has no words and fails the base rules; a null host is
@@ -17,7 +19,6 @@ a host of its own; repeated rows are judged as copies, each with a row of its ow
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _DIGITS = re.compile(rb"[0-9]+")
 
 _SCHEMA = """doc_row long, doc_id long, tag long, host string, n_words long, word_chars long, n_symbols long,
-n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>, content long"""
+n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>, whole long"""
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -86,7 +87,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                                                "lines", "content")}
+                                                "lines", "whole")}
         for raw, text in zip(byte_texts(col["text"]), texts(col["text"])):
             words = raw.split()
             repeated, lines = line_facts(raw)
@@ -96,7 +97,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_dup_lines"].append(repeated)
             out["n_repeat_words"].append(repeated_words(words))
             out["lines"].append([{"line": _signed(k), "words": n} for k, n in lines.items()])
-            out["content"].append(_signed(xxhash.xxh3_64_intdigest(array("Q", lines).tobytes())))
+            out["whole"].append(_signed(xxhash.xxh3_64_intdigest(raw)))
         kinds = {"lines": pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))}
         yield pa.RecordBatch.from_arrays(
             [col["doc_row"], col["doc_id"], col["tag"], col["host"], *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]],
@@ -105,10 +106,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line, first): lines held by more than ``max_documents`` documents of the host,
-    and the content of the first of them."""
-    line = facts.select("host", F.explode("lines.line").alias("line"), "content", "doc_row")
-    holders = line.groupBy("host", "line", "content").agg(F.min("doc_row").alias("row"), F.count("*").alias("copies"))
-    counted = holders.groupBy("host", "line").agg(F.sum("copies").alias("n"), F.min_by("content", "row").alias("first"))
+    and the hash of the text of the first of them."""
+    line = facts.select("host", F.explode("lines.line").alias("line"), "whole", "doc_id")
+    holders = line.groupBy("host", "line", "whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("id"), F.count("*").alias("copies"))
+    counted = holders.groupBy("host", "line").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "whole"))["whole"].alias("first"))
     return counted.where(F.col("n") > max_documents).drop("n")
 
 
@@ -127,13 +128,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.col(text_col).cast("string").alias("text"))
     facts = materialize(rows.mapInArrow(_facts, _SCHEMA), "quality-facts")
     common = common_lines(facts, max_documents)
-    held = facts.select("doc_row", "host", "content", F.explode("lines").alias("l")).select(
-        "doc_row", "host", "content", "l.line", "l.words")
-    removed = held.join(common, ["host", "line"]).where("content <> first").groupBy("doc_row").agg(F.sum("words").alias("_removed"))
+    held = facts.select("doc_row", "host", "whole", F.explode("lines").alias("l")).select(
+        "doc_row", "host", "whole", "l.line", "l.words")
+    removed = held.join(common, ["host", "line"]).where("whole <> first").groupBy("doc_row").agg(F.sum("words").alias("_removed"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     return (
-        facts.drop("lines", "host", "content").join(removed, "doc_row", "left")
+        facts.drop("lines", "host", "whole").join(removed, "doc_row", "left")
         .withColumn("words_left", left).drop("_removed")
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_left * F.col("n_words")))
