@@ -13,7 +13,7 @@ A conversation is one text by nature, so its turns meet in one row; offsets come
 from a running sum, not from a fold over the list.
 
 Cases: null text or role is empty; turns are ordered by number (null first), then
-role and text; repeated rows are repeated turns; a null conv_id is a conversation;
+role, text and escaped content; repeated rows are repeated turns; a null conv_id is a conversation;
 unknown kinds of part count as documents; an empty table gives no conversations.
 """
 
@@ -55,7 +55,7 @@ def _tokens(part: Column) -> Column:
 
 
 def flatten(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text -> escaped head and content per turn, with its attachments.
+    """conv_id, turn, role, text -> escaped head and content per turn, its plain text, and its attachments.
 
     An array column ``parts`` of struct (kind, text, ref, units) takes the place of
     ``text`` where it is not null.
@@ -74,6 +74,7 @@ def flatten(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", "role",
         F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n")).alias("head"),
         F.array_join(F.transform("_parts", _placeholder), "").alias("content"),
+        F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("said"),
         F.transform(F.filter("_parts", lambda p: _kind(p) != "text"),
                     lambda p: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))).alias("attachments"))
 
@@ -82,7 +83,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """Per conversation: formatted, spans (of each turn: its start, content start and length,
     whether loss applies) and attachments (turn place, kind, ref, tokens) in order."""
     flat = flatten(turns).withColumn("_size", F.length("head") + F.length("content") + len(END) + 1)
-    running = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "content").rowsBetween(Window.unboundedPreceding, 0)
     flat = (flat.withColumn("_end", F.sum(F.col("_size").cast("long")).over(running))
             .withColumn("_place", F.count(F.lit(1)).over(running) - 1))
     start = F.col("_end") - F.col("_size")
