@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.llm.common import byte_texts, prepare
+from hirescope.llm.graph import components
 from hirescope.session import materialize
 
 WORDS = 5
@@ -289,30 +290,6 @@ def links(texts: DataFrame, reps: DataFrame) -> DataFrame:
                        .mapInArrow(_links, "rep long, links long, hub long"), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b), b < a -> (a, b) with b the least node of a's component: alternating star steps."""
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    edges = materialize(edges, "edges")
-    seen = state(edges)
-    while seen[0]:
-        # Large star: larger neighbours of a node go to its least neighbour (or itself).
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: a node and its smaller neighbours go to the least of them.
-        large = materialize(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str | None = None) -> DataFrame:
     """Per row of ``docs``: row (its number), doc_id, tag, class_row and class_id (the earliest row of its class, and that
     row's id), copy_id (the earliest row's id with an equal set) and n_links (other rows of similarity

@@ -208,6 +208,12 @@ def test_chat_round_trip(spark):
     assert chat.digest(table.where("false")).count() == 0
 
 
+def test_chat_ties_go_by_the_text_as_it_is(spark):
+    rows = [(1, 0, "user", t) for t in ("<|", "<a", "<|x", "\\z", "[")]
+    got = chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [t["text"] for t in got["turns"]] == sorted(r[3] for r in rows)
+
+
 def test_chat_parts(spark):
     parts = "array<struct<kind: string, text: string, ref: string, units: long>>"
     rows = [(1, 0, "user", None, [("text", "see <|", None, None), ("image", None, "a.png", 4), ("audio", None, "b.wav", 10), ("scroll", None, "c", None)]),
