@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from hirescope.functions import dates, numbers, text
 from hirescope.operators import dedup, filters, lookups, normalize, store, validate
+from hirescope.operators.versions import Attempt
 from hirescope.plans import discovery
+from hirescope.schemas import BOOL, LONG, STRING, struct
 from hirescope.session import materialize, scratch_path
 from hirescope.sources.json_boards import country_from_location, graded_level_from_title, level_from_title
 from workloads import inputs as I
@@ -421,12 +423,13 @@ def _(spark, sf):
     batch = materialize(good, "store-batch")
     root = scratch_path(spark, "store")
     earlier = stored_keys(spark, sf).withColumn("posting_month", F.lit("unknown"))
-    earlier.write.partitionBy("posting_month").parquet(f"{root}/jobs/run_id=r0")
-    store.publish(spark, root, "r0")
+    first = Attempt(spark, root, "r0", "store")
+    first.write(earlier, "jobs", "posting_month")
+    first.commit()
     store.store_run(batch, root, "r1", CFG)
-    rows = spark.read.parquet(f"{root}/jobs/run_id=r1")
-    return rows.select("ingest_seq", "source", "external_id", "title", "company_id", "posting_month", "is_validated")
-
+    columns = struct(ingest_seq=LONG, source=STRING, external_id=STRING, title=STRING, company_id=STRING, posting_month=STRING,
+                     is_validated=BOOL, run_id=STRING)
+    return store.read_table(spark, root, "jobs", columns).where("run_id = 'r1'").drop("run_id")
 
 
 _OLD_ROLE = "CASE ingest_seq % 4 WHEN 0 THEN 'analytics' WHEN 1 THEN 'customer_service' END"
@@ -441,8 +444,16 @@ _OLD_ROLE = "CASE ingest_seq % 4 WHEN 0 THEN 'analytics' WHEN 1 THEN 'customer_s
     ),
 )
 def _(spark, sf):
+    root = scratch_path(spark, "backfilled")
     stored = normalize.parse_postings(I.postings(spark, sf), CFG).withColumn("role_category", F.expr(_OLD_ROLE))
-    return normalize.backfill_role(stored, CFG).select("ingest_seq", "role_category", "role_changed")
+    first = Attempt(spark, root, "r1", "store")
+    first.write(stored.withColumn("posting_month", F.lit("unknown")), "jobs", "posting_month")
+    before = first.commit().version
+    store.backfill_table(spark, root, "r1", CFG)
+    columns = struct(ingest_seq=LONG, role_category=STRING)
+    old = store.read_table(spark, root, "jobs", columns, version=before).withColumnRenamed("role_category", "_old")
+    changed = ~F.col("role_category").eqNullSafe(F.col("_old"))
+    return store.read_table(spark, root, "jobs", columns).join(old, "ingest_seq").withColumn("role_changed", changed).drop("_old")
 
 
 @register(
