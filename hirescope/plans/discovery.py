@@ -11,17 +11,18 @@ from hirescope.operators.filters import filter_entry_level, filter_location, in_
 from hirescope.session import materialize
 
 
-def discover(raw: DataFrame, cfg: Config) -> DataFrame:
+def discover(raw: DataFrame, cfg: Config, written: bool = False) -> DataFrame:
     """Filters, then de-duplication, then location.
 
-    What passes the filters is written once: de-duplication reads it for its keys
-    and again for the rows it keeps, and landed payloads are parsed only for the first.
+    What passes the filters is written once, unless ``raw`` is a ``written`` table itself: de-duplication
+    reads it for its keys and again for the rows it keeps, and landed payloads are parsed only for the first.
 
     The location filter must see the de-duplicated rows: a kept posting out of
     reach still hides its later copies. It is a row filter, so Spark applies it
     before the final join on the wide rows.
     """
-    return filter_location(dedup_postings(materialize(filter_entry_level(raw, cfg), "entry-level")), cfg)
+    junior = filter_entry_level(raw, cfg)
+    return filter_location(dedup_postings(junior if written else materialize(junior, "entry-level")), cfg)
 
 
 def discovery_funnel(raw: DataFrame, cfg: Config) -> DataFrame:

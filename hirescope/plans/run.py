@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hirescope.catalog import project_catalog
@@ -21,7 +21,7 @@ from hirescope.operators.validate import accepted, validate_postings
 from hirescope.plans.discovery import discover
 from hirescope.plans.rejects import rejects
 from hirescope.session import materialize
-from hirescope.sources import union_sources
+from hirescope.sources import map_landing, unreadable_payloads, usable_postings
 
 
 @dataclass
@@ -41,6 +41,21 @@ def with_skills(valid: DataFrame, cfg: Config, extractor=extract_skills) -> Data
     return extractor(valid, cfg).withColumn("skill_names", F.transform("skills", lambda s: s["name"]))
 
 
+def check_landed(mapped: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Postings found in the written ``mapped`` landing, those of them that parse, with their verdict, and
+    the counts of a run; the counts are taken while the tables are written.
+
+    Found is counted before parsing; rows that cannot be parsed count as rejected.
+    """
+    n_found, n_valid = Observation(), Observation()
+    found = discover(usable_postings(mapped), cfg, written=True).observe(n_found, F.count(F.lit(1)).alias("n"))
+    found = materialize(found, "found")
+    checked = validate_postings(parse_postings(found, cfg), cfg).observe(n_valid, F.count_if("is_valid").alias("n"))
+    checked = materialize(checked, "validated")
+    n, valid = n_found.get["n"], n_valid.get["n"]
+    return found, checked, {"found": n, "validated": valid, "rejected": n - valid}
+
+
 def run(
     landing: DataFrame, root: str, cfg: Config, profile: Profile = Profile(), run_id: str | None = None,
     extractor=extract_skills,
@@ -55,13 +70,10 @@ def run(
     started = datetime.now(timezone.utc)
     counts = {"found": 0, "validated": 0, "rejected": 0}
     try:
-        found = materialize(discover(union_sources(landing, cfg), cfg), "found")
-        checked = materialize(validate_postings(parse_postings(found, cfg), cfg), "validated")
-        # Found is counted before parsing; rows that cannot be parsed count as rejected.
-        counts = {"found": found.count(), "validated": checked.where("is_valid").count(), "rejected": 0}
-        counts["rejected"] = counts["found"] - counts["validated"]
+        mapped = materialize(map_landing(landing, cfg), "mapped")
+        found, checked, counts = check_landed(mapped, cfg)
         postings = materialize(with_skills(accepted(checked), cfg, extractor), "postings")
-        all_rejects = materialize(rejects(landing, found, checked, cfg), "rejects")
+        all_rejects = materialize(rejects(unreadable_payloads(mapped), found, checked), "rejects")
         store.store_run(postings, root, run_id, cfg, all_rejects)
         names = explode_names(postings, "fingerprint", "country")
         report = materialize(an.analytics_long(postings, names), "analytics")

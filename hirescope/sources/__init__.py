@@ -4,11 +4,15 @@ from hirescope.sources import cards, json_boards  # noqa: F401  (registration)
 from hirescope.sources.registry import SOURCES, Source, register
 from hirescope.sources.union import (
     dedup_and_cap,
+    map_landing,
     map_source,
     quarantined,
     union_sources,
+    unreadable_payloads,
+    usable_postings,
 )
 
 __all__ = [
     "SOURCES", "Source", "register", "map_source", "union_sources", "quarantined", "dedup_and_cap",
+    "map_landing", "usable_postings", "unreadable_payloads",
 ]

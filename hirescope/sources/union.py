@@ -62,6 +62,49 @@ def union_sources(landing: DataFrame, cfg: Config, boards: list[str] | None = No
     return reduce(DataFrame.unionByName, branches)
 
 
+def map_landing(landing: DataFrame, cfg: Config, boards: list[str] | None = None) -> DataFrame:
+    """Every record of every payload once: the posting's fields, where it came from (``landed_seq``,
+    ``landed_source``) and whether it is ``usable``.
+
+    Write it, and both :func:`usable_postings` and :func:`unreadable_payloads` come from one parse.
+    """
+    chosen = _boards(boards)
+    known = F.coalesce(F.col("source").isin([b.name for b in chosen]), F.lit(False))
+    came = [F.col("ingest_seq").alias("landed_seq"), F.col("source").alias("landed_source")]
+
+    def rows(records: DataFrame) -> DataFrame:
+        usable = F.col("posting").isNotNull()
+        fields = [F.when(usable, c).alias(n) for n, c in zip(POSTING_FIELDS.names, _posting_columns())]
+        return records.select("landed_seq", "landed_source", usable.alias("usable"), *fields, "ingest_seq")
+
+    branches = [
+        rows(landing.where(F.col("source") == board.name)
+             .select(*came, "ingest_seq", "context", "payload", F.posexplode_outer(board.records(F.col("payload"))).alias("pos", "record"))
+             .select("landed_seq", "landed_source", "payload", _arrival(F.coalesce("pos", F.lit(0))),
+                     board.posting(F.col("record"), F.col("context"), cfg).alias("posting")))
+        for board in chosen
+    ]
+    nothing = F.lit(None).cast(branches[0].select([F.struct(*POSTING_FIELDS.names).alias("p")]).schema["p"].dataType)
+    strange = landing.where(~known).select(*came, "payload", _arrival(F.lit(0)), nothing.alias("posting"))
+    return reduce(DataFrame.unionByName, [*branches, rows(strange)])
+
+
+def _posting_columns() -> list[Column]:
+    own = F.coalesce(F.col("posting.raw_data"), F.col("payload"))
+    return [own if n == "raw_data" else F.col(f"posting.{n}") for n in POSTING_FIELDS.names]
+
+
+def usable_postings(mapped: DataFrame) -> DataFrame:
+    return mapped.where("usable").select(*POSTING_FIELDS.names, "ingest_seq")
+
+
+def unreadable_payloads(mapped: DataFrame) -> DataFrame:
+    """(ingest_seq, source) of payloads without a usable record, and of no known board."""
+    of_some = mapped.where("NOT usable").select(F.col("landed_seq").alias("ingest_seq"), F.col("landed_source").alias("source")).distinct()
+    used = mapped.where("usable").select(F.col("landed_seq").alias("ingest_seq"))
+    return of_some.join(used, "ingest_seq", "left_anti")
+
+
 def _usable(board: Source, cfg: Config) -> Column:
     found = F.exists(board.records(F.col("payload")), lambda r: board.posting(r, F.col("context"), cfg).isNotNull())
     return F.coalesce(found, F.lit(False))
