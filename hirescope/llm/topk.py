@@ -1,11 +1,13 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Vectors are cut into 1, 4 and 16 segments. With mean m and deviation s of each
+Vectors are cut into 1, 4, 16, 32 and 48 segments. With mean m and deviation s of each
 segment of length n, <u, v> <= sum of n (m_u m_v + s_u s_v) (Cauchy-Schwarz on
 what is left after the means); equally |u|^2 + |v|^2 - 2 <u, v> is bounded from
 below. So the bound of a level is an inner product of short feature vectors. From
-coarse to fine, candidates whose bound is below the k-th exact score known so far
-are dropped, and exact scores are computed for the survivors.
+coarse to fine, candidates whose bound is below the k-th exact score among those of the highest bounds
+are dropped, and exact scores are computed for the survivors only. Vectors whose
+energy lies in few segments leave at the coarse levels; directions without any
+structure need the fine ones (:func:`survivors` tells the shares).
 
 Queries and candidates are gathered in blocks of bounded size; each block of
 candidates meets each block of queries in one task and returns k rows per query,
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from hirescope.llm.common import prepare
 from hirescope.session import materialize
 
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32, 48)
 CANDIDATE_BLOCK = 16_384
 QUERY_BLOCK = 1_024
 SCALE = 64
@@ -97,31 +99,37 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray,
-         k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query its place, the places of its k best candidates of the block, and their scores."""
+         k: int, left: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query its place, the places of its k best candidates of the block, and their scores.
+
+    ``left`` gets the number of pairs before the first level and those left after each, added up.
+    """
+    left = [0] * (len(LEVELS) + 1) if left is None else left
     levels = [features(vectors, s).T for s in LEVELS]
     for first in range(0, len(queries), _CHUNK):
         q = queries[first : first + _CHUNK]
         own = query_rows[first : first + _CHUNK, None] == rows[None, :]
         least = np.full(len(q), -np.inf)
         alive = ~own
-        for segments, level in zip(LEVELS, levels):
+        left[0] += int(alive.sum())
+        for nth, (segments, level) in enumerate(zip(LEVELS, levels), 1):
             bound = features(q, segments) @ level
             bound += 1e-6 * (1 + np.abs(bound))  # rounding never drops a candidate
-            alive &= bound >= least[:, None]
+            bound[~alive] = -np.inf
             if len(rows) > k:
-                # The exact k-th score among the candidates of the highest bounds.
-                bound[~alive] = -np.inf
-                top = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+                # The k-th exact score among the candidates of the highest bounds is a score to reach.
+                some = min(4 * k, len(rows) - 1)
+                top = np.argpartition(-bound, some, axis=1)[:, :some]
                 for i, places in enumerate(top):
                     places = places[alive[i, places]]
                     if len(places) >= k:
-                        least[i] = max(least[i], float(_exact(q[i : i + 1], vectors[places].T).min()))
-        dense = alive.mean() > 0.05
-        scores = _exact(q, vectors.T) if dense else None
+                        known = _exact(q[i : i + 1], vectors[places].T)[0]
+                        least[i] = max(least[i], float(np.partition(known, len(known) - k)[len(known) - k]))
+            alive &= bound >= least[:, None]
+            left[nth] += int(alive.sum())
         for i in range(len(q)):
             places = np.flatnonzero(alive[i])
-            score = scores[i, places] if dense else _exact(q[i : i + 1], vectors[places].T)[0]
+            score = _exact(q[i : i + 1], vectors[places].T)[0]
             if len(places) > k:
                 keep = score >= np.partition(score, len(score) - k)[len(score) - k]
                 places, score = places[keep], score[keep]
@@ -129,6 +137,15 @@ def best(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows:
             yield first + i, places[order], score[order]
 
 
+def survivors(queries: np.ndarray, vectors: np.ndarray, k: int = 20) -> list[float]:
+    """Share of the pairs of some queries and candidates that is left after each level."""
+    left = [0] * (len(LEVELS) + 1)
+    nobody, rows = np.full(len(queries), -1), np.arange(len(vectors))
+    for _ in best(queries, nobody, vectors, rows, rows, k, left):
+        pass
+    return [n / max(left[0], 1) for n in left[1:]]
+
+
 def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each row for which ``is_query`` (a
     condition on vec_id) holds, against all other rows."""

@@ -234,6 +234,17 @@ def test_chat_uses_no_python(spark):
 # Top k
 
 
+def test_bounds_drop_candidates():
+    rng = np.random.default_rng(1)
+    plain = rng.normal(size=(3000, 64))
+    plain = np.floor(64 * plain / np.linalg.norm(plain, axis=1, keepdims=True))
+    shares = topk.survivors(plain[::30], plain)
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.5
+    # Energy in few segments: the coarse levels drop nearly all.
+    smooth = np.floor(64 * np.repeat(rng.normal(size=(3000, 4)), 16, axis=1))
+    assert topk.survivors(smooth[::30], smooth)[1] < 0.05
+
+
 @pytest.mark.parametrize("block", [(16_384, 1_024), (7, 3)])
 def test_top_k_is_exact(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block[0])
