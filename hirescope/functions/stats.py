@@ -46,13 +46,18 @@ def int_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     locate the bucket of the middle rows, and only those buckets are then walked
     value by value (at most 65,536 each). No task sees more rows than that per group.
     """
-    group = list(group)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_hi", F.floor(F.col("_v") / _HALF).cast("int"))
     )
+    return counted_summary(counted, group)
+
+
+def counted_summary(counted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """:func:`int_summary` of rows (group, _v, _n): each INT value once per group, with how often it occurs."""
+    group = list(group)
+    counted = counted.withColumn("_hi", F.floor(F.col("_v") / _HALF).cast("int"))
     amount = F.col("_v").cast("decimal(10,0)") * F.col("_n").cast("decimal(20,0)")
     buckets = counted.groupBy(*group, "_hi").agg(
         F.sum("_n").alias("_bn"), F.sum(amount).alias("_sum"),

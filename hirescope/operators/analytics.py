@@ -73,9 +73,12 @@ def salary_analysis(df: DataFrame, *group: str) -> DataFrame:
         F.struct(F.lit("max_salary").alias("bound"), F.col("salary_max").alias("amount")),
     )
     long = df.select(*group, F.inline(bounds))
-    stats = int_summary(long, ["bound", *group], "amount")
+    return salary_rows(int_summary(long, ["bound", *group], "amount"), "bound", *group)
+
+
+def salary_rows(stats: DataFrame, *group: str) -> DataFrame:
     return stats.select(
-        "bound", *group,
+        *group,
         round_even(F.col("mean")).alias("mean"),
         round_even(F.col("median")).alias("median"),
         F.col("smallest").alias("min"),
@@ -137,7 +140,7 @@ def learning_recs(gap: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-_SECTIONS = (
+SECTIONS = (
     # section, column, how many values to keep (None: all)
     ("country_distribution", "country", 15),
     ("remote_trends", "remote_type", None),
@@ -150,13 +153,13 @@ _SECTIONS = (
 
 def value_counts(df: DataFrame) -> DataFrame:
     """(section, key, n) for every single-column count, in one pass by grouping sets."""
-    columns = [c for _, c, _ in _SECTIONS]
+    columns = [c for _, c, _ in SECTIONS]
     grouped = df.groupingSets([[c] for c in columns], *columns).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid")
     )
     width = len(columns)
     section, key = None, None
-    for i, (name, column, _) in enumerate(_SECTIONS):
+    for i, (name, column, _) in enumerate(SECTIONS):
         # Every column is aggregated away except the one of this section.
         only_this = F.col("_gid") == (1 << width) - 1 - (1 << (width - 1 - i))
         section = F.when(only_this, F.lit(name)) if section is None else section.when(only_this, F.lit(name))
@@ -166,11 +169,16 @@ def value_counts(df: DataFrame) -> DataFrame:
 
 def analytics_long(df: DataFrame, names: DataFrame) -> DataFrame:
     """All statistics as (section, rank, key, value): one frame to store, chart or export."""
-    limits = F.create_map(*[F.lit(x) for s, _, k in _SECTIONS if k for x in (s, k)])
+    return long_report(summary_stats(df), value_counts(df), top_skills(names), skills_by_country(names), salary_analysis(df))
+
+
+def long_report(summary: DataFrame, values: DataFrame, skills: DataFrame, by_country: DataFrame, salaries: DataFrame) -> DataFrame:
+    """The parts of the report in one frame; ``values`` (section, key, n) are ranked here."""
+    limits = F.create_map(*[F.lit(x) for s, _, k in SECTIONS if k for x in (s, k)])
     by_section = Window.partitionBy("section").orderBy(F.desc("n"), F.asc("key"))
-    limited = [s for s, _, k in _SECTIONS if k]
-    largest = max(k for _, _, k in _SECTIONS if k)
-    ranked = value_counts(df).withColumn("rank", F.row_number().over(by_section))
+    limited = [s for s, _, k in SECTIONS if k]
+    largest = max(k for _, _, k in SECTIONS if k)
+    ranked = values.withColumn("rank", F.row_number().over(by_section))
     # The constant bound lets Spark prune each task to that many rows per section.
     short = ranked.where((F.col("rank") <= largest) & F.col("section").isin(*limited))
     short = short.where(F.col("rank") <= F.try_element_at(limits, F.col("section")))
@@ -178,20 +186,20 @@ def analytics_long(df: DataFrame, names: DataFrame) -> DataFrame:
     counts = short.unionByName(full).select("section", "rank", "key", F.col("n").cast("double").alias("value"))
 
     by_rank = Window.partitionBy().orderBy(F.desc("n"), F.asc("skill"))
-    skills = top_skills(names).select(
+    skills = skills.select(
         F.lit("top_skills").alias("section"), F.row_number().over(by_rank).alias("rank"),
         F.col("skill").alias("key"), F.col("n").cast("double").alias("value"),
     )
-    by_country = skills_by_country(names).select(
+    by_country = by_country.select(
         F.lit("skill_by_country").alias("section"), "rank",
         F.concat_ws(" / ", "country", "skill").alias("key"), F.col("n").cast("double").alias("value"),
     )
     return (
-        _as_rows(summary_stats(df), "summary", [])
+        _as_rows(summary, "summary", [])
         .unionByName(counts)
         .unionByName(skills)
         .unionByName(by_country)
-        .unionByName(_as_rows(salary_analysis(df), "salary_analysis", ["bound"]))
+        .unionByName(_as_rows(salaries, "salary_analysis", ["bound"]))
     )
 
 

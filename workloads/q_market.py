@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirescope.catalog import CATALOG, project_catalog
 from hirescope.config import Profile
 from hirescope.operators import analytics as an
-from hirescope.operators import answers, export, normalize, skills, store, validate
+from hirescope.operators import answers, export, incremental, normalize, skills, store, validate
 from hirescope.operators import recommend as rec
 from hirescope.plans.discovery import discover
 from hirescope.schemas import RUN_LOG, conform
@@ -394,6 +394,23 @@ def _(spark, sf):
     return an.analytics_long(*market(spark, sf))
 
 
+@register("analytics_incremental", O.query(*_GOOD, f"long AS ({_LONG})", "SELECT section, CAST(rank AS INT) AS rank, key, value FROM long"))
+def _(spark, sf):
+    """The same report from ten runs counted in one after the other, one of them twice and one that is withdrawn."""
+    good, _ = market(spark, sf)
+    good, root = good.withColumn("run", F.expr("CAST(floor(ingest_seq / 5) AS BIGINT) % 10")), scratch_path(spark, "report")
+
+    def add(run: str, rows: DataFrame) -> None:
+        incremental.add_run(root, run, rows, skills.explode_names(rows, "country"))
+
+    add("mistaken", good)
+    add("0", good.where("run IN (0, 7)"))
+    for i in range(10):
+        add(str(i), good.where(F.col("run") == i))
+    incremental.withdraw_run(spark, root, "mistaken")
+    return incremental.report(spark, root)
+
+
 _REPORT = (
     "report AS (SELECT section, rank, key || ': ' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS text FROM long "
     "WHERE (section = 'summary' AND rank <= 5) OR (section = 'top_skills' AND rank <= 20) OR (section = 'country_distribution' AND rank <= 15) "
