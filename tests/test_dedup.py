@@ -37,6 +37,29 @@ def test_chain(spark):
     assert run(spark, []) == []
 
 
+def chain(n, start=0):
+    """Rows of which each shares a key with the one before and the one after it."""
+    return [(f"{start}k{j // 2}", f"{start}f{(j + 1) // 2}", start + j) for j in range(n)]
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    real = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name: written.append(name) or real(df, name))
+    rows = chain(10_000)
+    assert run(spark, rows) == loop(rows)
+    assert written.count("dedup-kept") == dedup.PLAIN_ROUNDS + 1
+
+
+def test_components_beyond_one_task_go_on_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [*chain(30), *chain(9, 1000), *[(rng.randrange(40), rng.randrange(40), 5000 + i) for i in range(200)]]
+    for plain, largest in ((1, 10), (2, 29), (1, 1000), (1, 0)):
+        edges = spark.createDataFrame([(str(k).encode(), str(f).encode(), s) for k, f, s in rows], "k BINARY, f BINARY, seq BIGINT")
+        edges = edges.withColumn("seq", F.col("seq").cast("decimal(30,0)"))
+        assert sorted(int(r[0]) for r in dedup.greedy_kept(edges, plain, largest).collect()) == loop(rows)
+
+
 def test_no_python_in_tasks(make):
     plan = dedup.dedup_postings(make({}, {}))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
