@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.llm.common import byte_texts, prepare
-from hirescope.llm.graph import components
+from hirescope.functions.graph import components
 from hirescope.session import materialize
 
 WORDS = 5

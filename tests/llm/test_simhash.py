@@ -8,7 +8,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hirescope.llm import graph, queries, simhash
+from hirescope.functions import graph
+from hirescope.llm import queries, simhash
 from llm_cases import EDGES, docs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
