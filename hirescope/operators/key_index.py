@@ -1,10 +1,11 @@
 """A stored index of keys: is a key known, without reading all that is stored.
 
-A key is 16 bytes. An index part holds the keys of one attempt in ``BUCKETS``
-folders by hash, and a Bloom filter of 4 KB for each page of about ``PAGE_KEYS`` keys of a bucket.
-A lookup reads the filters of the buckets that the asked keys fall into, and then
-only the buckets in which some filter says yes, where keys are compared exactly. So
-a batch of new keys reads no stored key but for false alarms (under 1 %).
+A key is 16 bytes. An index part holds the keys of one attempt in pages of about
+``PAGE_KEYS`` keys by hash, and a folder holds ``FOLDER_PAGES`` pages (a bucket): so a small batch is one file and
+a large part many. A page has a Bloom filter of 4 KB. A lookup reads the filters of the buckets
+that the asked keys fall into, and then only the buckets in which some filter says
+yes, where keys are compared exactly. So a batch of new keys reads no stored key
+but for false alarms (under 1 %).
 
 ``FAN_IN`` parts of a level are merged into one of the next: there are never more
 than ``FAN_IN - 1`` parts per level (at most ``FAN_IN`` between a commit and its
@@ -25,7 +26,7 @@ from hirescope.operators.versions import Attempt, Part, Snapshot, read_parts, sn
 from hirescope.schemas import INT, STRING, struct
 from hirescope.session import materialize
 
-BUCKETS = 16
+FOLDER_PAGES = 256
 #: Bits of a page's filter: what one bitmap of Spark holds. Four bits a key fill about a quarter of it.
 PAGE_BITS = 32768
 PAGE_KEYS = 2500
@@ -55,12 +56,19 @@ def _is_set(bits: Column, place: Column) -> Column:
     return F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
 
 
+def _bucket(page: Column) -> Column:
+    return F.floor(page / FOLDER_PAGES).cast("int")
+
+
 def add(attempt: Attempt, name: str, keys: DataFrame, level: int = 0) -> None:
     """Write ``keys`` (key, of_run), each once, as a part of the index and the filters of that part."""
     n = keys.count()
-    pages = max(1, math.ceil(n / BUCKETS / PAGE_KEYS))
-    rows = keys.select(_hashed(0, BUCKETS).alias("bucket"), _hashed(1, pages).alias("page"), "key", "of_run")
-    # A bucket is a few files of good size, sorted by page, so that row groups can be skipped.
+    if not n:
+        return
+    pages = math.ceil(n / PAGE_KEYS)
+    page = _hashed(1, pages)
+    rows = keys.select(_bucket(page).alias("bucket"), page.alias("page"), "key", "of_run")
+    # A bucket is sorted by page, so row groups can be skipped.
     sorted_ = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "page")
     written = attempt.write(sorted_, name, "bucket", level=level, pages=pages)
     marks = written.select("bucket", "page", F.explode(_places()).alias("place"))
@@ -68,27 +76,30 @@ def add(attempt: Attempt, name: str, keys: DataFrame, level: int = 0) -> None:
     attempt.write(filters.hint("rebalance", "bucket"), f"{name}_filters", "bucket", level=level, pages=pages)
 
 
+def _buckets_of(rows: DataFrame) -> list[tuple[str, int]]:
+    """(attempt, bucket) of some rows: at most as many as there are folders."""
+    return [(r["attempt"], r["bucket"]) for r in rows.select("attempt", "bucket").distinct().collect()]
+
+
 def candidates(spark: SparkSession, root: str, parts: list[Part], name: str, keys: DataFrame) -> DataFrame:
     """(key, bucket, attempt): where a filter does not rule a key out. Reads filters of the keys' buckets only."""
-    asked = keys.select("key", _hashed(0, BUCKETS).alias("bucket"))
-    touched = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
-    stored = read_parts(spark, root, [Part(f"{name}_filters", p.run_id, p.attempt) for p in parts], _FILTERS)
-    stored = stored.where(F.col("bucket").isin(touched))
     sizes = F.array(*[F.struct(F.lit(p.attempt).alias("attempt"), F.lit(p.pages).alias("pages")) for p in parts])
-    asked = asked.withColumn("_part", F.explode(sizes)).select(
-        "key", "bucket", F.col("_part.attempt").alias("attempt"), _hashed(1, F.col("_part.pages")).alias("page"))
+    asked = keys.withColumn("_part", F.explode(sizes)).select("key", F.col("_part.attempt").alias("attempt"), _hashed(1, F.col("_part.pages")).alias("page"))
+    asked = asked.withColumn("bucket", _bucket(F.col("page")))
+    stored = in_buckets(spark, root, f"{name}_filters", _FILTERS, parts, _buckets_of(asked))
     tested = reduce(Column.__and__, [_is_set(F.col("bits"), _hashed(2 + i, PAGE_BITS)) for i in range(HASHES)])
     return asked.join(stored, ["attempt", "bucket", "page"]).where(tested).select("key", "bucket", "attempt")
 
 
-def in_buckets(spark: SparkSession, root: str, parts: list[Part], places: list[tuple[str, int]]) -> DataFrame:
-    """Stored keys of some buckets of some parts; other folders are pruned."""
+def in_buckets(spark: SparkSession, root: str, table: str, schema: T.StructType, parts: list[Part],
+               places: list[tuple[str, int]]) -> DataFrame:
+    """Rows of some buckets of some parts of a table; other folders are pruned."""
     by_part: dict[str, list[int]] = {}
     for attempt, bucket in places:
         by_part.setdefault(attempt, []).append(bucket)
-    rows = read_parts(spark, root, [p for p in parts if p.attempt in by_part], _KEYS)
+    rows = read_parts(spark, root, [Part(table, p.run_id, p.attempt) for p in parts if p.attempt in by_part], schema)
     any_of = [(F.col("attempt") == a) & F.col("bucket").isin(sorted(b)) for a, b in by_part.items()]
-    return rows.where(reduce(Column.__or__, any_of))
+    return rows.where(reduce(Column.__or__, any_of, F.lit(False)))
 
 
 def known(spark: SparkSession, root: str, now: Snapshot, name: str, keys: DataFrame, skip_run: str | None = None) -> DataFrame:
@@ -97,10 +108,10 @@ def known(spark: SparkSession, root: str, now: Snapshot, name: str, keys: DataFr
     if not parts:
         return keys.where("false")
     found = materialize(candidates(spark, root, parts, name, keys), "key-candidates")
-    places = [(r["attempt"], r["bucket"]) for r in found.select("attempt", "bucket").distinct().collect()]  # at most parts x BUCKETS
+    places = _buckets_of(found)
     if not places:
         return keys.where("false")
-    stored = in_buckets(spark, root, parts, places)
+    stored = in_buckets(spark, root, name, _KEYS, parts, places)
     if skip_run is not None:
         stored = stored.where(F.col("of_run") != skip_run)
     return found.join(stored, ["attempt", "bucket", "key"], "left_semi").select("key").distinct()

@@ -33,7 +33,7 @@ def stopped(monkeypatch):
     monkeypatch.undo()
 
 
-@pytest.mark.parametrize("parts", [0, 1, 2, 4])
+@pytest.mark.parametrize("parts", [0, 1, 2, 3])
 def test_a_repeated_run_that_stops_half_way_changes_nothing(spark, make, cfg, tmp_path, stopped, monkeypatch, parts):
     root = str(tmp_path)
     store.store_run(make({"external_id": "1", "title": "a", "company": "X"}), root, "r1", cfg)
@@ -144,7 +144,9 @@ def test_index_knows_what_is_stored(spark, tmp_path, monkeypatch):
     assert known_names(spark, root, asked, skip="a") == asked & second
 
 
-def test_lookup_reads_only_buckets_that_may_hold_a_key(spark, tmp_path):
+def test_lookup_reads_only_buckets_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(key_index, "PAGE_KEYS", 600)
+    monkeypatch.setattr(key_index, "FOLDER_PAGES", 2)
     root = str(tmp_path)
     stored(spark, root, "a", [f"old{i}" for i in range(20_000)])
     parts = versions.snapshot(spark, root).of("k")
@@ -154,7 +156,7 @@ def test_lookup_reads_only_buckets_that_may_hold_a_key(spark, tmp_path):
     one = key_index.candidates(spark, root, parts, "k", keys_of(spark, ["old7"]).select("key"))
     places = [(r["attempt"], r["bucket"]) for r in one.collect()]
     assert len(places) == 1
-    rows = key_index.in_buckets(spark, root, parts, places)
+    rows = key_index.in_buckets(spark, root, "k", key_index._KEYS, parts, places)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and f"(bucket#" in plan and "IN (" not in plan.split("PartitionFilters")[0]
     files = rows.select(F.input_file_name().alias("f")).distinct().count()
@@ -164,7 +166,7 @@ def test_lookup_reads_only_buckets_that_may_hold_a_key(spark, tmp_path):
 
 def test_merges_bound_the_parts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(key_index, "FAN_IN", 3)
-    monkeypatch.setattr(key_index, "BUCKETS", 4)
+    monkeypatch.setattr(key_index, "PAGE_KEYS", 4)
     root = str(tmp_path)
     for i in range(10):
         stored(spark, root, f"r{i}", [f"{i}-{j}" for j in range(5)])
@@ -184,7 +186,6 @@ def test_merges_bound_the_parts(spark, tmp_path, monkeypatch):
 
 def test_repeated_run_after_a_merge(spark, make, cfg, tmp_path, monkeypatch):
     monkeypatch.setattr(key_index, "FAN_IN", 2)
-    monkeypatch.setattr(key_index, "BUCKETS", 2)
     root = str(tmp_path)
     for i in range(3):
         store.store_run(make({"external_id": str(i), "title": f"t{i}", "company": f"C{i}"}), root, f"r{i}", cfg)
