@@ -330,6 +330,6 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
-def test_all_ten_are_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_all_thirteen_are_registered():
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert langid.ORDER >= 2

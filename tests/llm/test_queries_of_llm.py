@@ -17,6 +17,8 @@ COLUMNS = {
     "op5_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op6_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     "op9_jaccard_join": {"doc_id", "class_id", "n_links"},
+    "op11_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
     "op10_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 
