@@ -7,7 +7,8 @@ are anchors, the longest increasing subsequence of anchors is kept, and the gaps
 between them are aligned the same way, after equal words at both ends are taken
 off. Coverage is the share of the template's words that are aligned. All
 words that tell licenses apart (names, versions, NC, SA, ND) must be aligned, with
-no other such word between. Full texts of Apache-2.0, GPL, LGPL, AGPL, MPL, CC0 and
+no other such word between. Short notices must not follow a negation, and phrases
+of under five words stand as they are. Full texts of Apache-2.0, GPL, LGPL, AGPL, MPL, CC0 and
 Unlicense are not among the templates. Where several templates fit one place, the one with most aligned words is reported.
 
 Cases: a null or blank text has no license; repeated rows give repeated results;
@@ -93,9 +94,27 @@ for _name, _words in {"GPL-2.0": ("General", "2"), "LGPL-2.1": ("Lesser General"
             "version 3", f"version {_words[1]}")
 for _variant in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
     TEMPLATES[f"CC-{_variant}-4.0-short-notice"] = f"Licensed under CC {_variant} 4.0."
+for _variant in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+    TEMPLATES[f"CC-{_variant}-4.0-line"] = f"License: CC {_variant} 4.0"
+#: Names of licenses as they stand in titles and lines (fixed values).
+TEMPLATES |= {
+    "MIT-title": "MIT License", "MIT-long-title": "The MIT License (MIT)", "Apache-2.0-title": "Apache License, Version 2.0",
+    "ISC-title": "ISC License", "Zlib-title": "zlib License", "BSL-1.0-title": "Boost Software License - Version 1.0",
+    "MPL-2.0-title": "Mozilla Public License, Version 2.0",
+    "GPL-2.0-or-later-notice": "GPL version 2 or later", "GPL-3.0-or-later-notice": "GPL version 3 or later",
+    "LGPL-2.1-or-later-notice": "LGPL version 2.1 or later", "LGPL-3.0-or-later-notice": "LGPL version 3 or later",
+    "AGPL-3.0-or-later-notice": "AGPL version 3 or later",
+}
+for _id in ("MIT", "ISC", "Zlib", "Unlicense", "Apache-2.0", "BSL-1.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0",
+            "CC-BY-SA-4.0", "CC-BY-NC-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+            "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"):
+    TEMPLATES[f"SPDX-{_id}"] = f"SPDX-License-Identifier: {_id}"
+#: A short notice after one of these words is none; a template of fewer words is a notice, and of still fewer a fixed phrase.
+NEGATIONS = frozenset("not no never without cannot isn aren wasn".split())
+NOTICE_WORDS, PHRASE_WORDS = 16, 5
 #: Words that tell licenses apart: a place must align those of its template and hold no other between.
 IDENTIFYING = frozenset("mit bsd apache lesser library affero mozilla gpl lgpl agpl mpl by nc sa nd noncommercial sharealike "
-                        "noderivatives noderivs endorse".split())
+                        "noderivatives noderivs endorse spdx isc zlib boost bsl cc0 unlicense".split())
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -155,6 +174,7 @@ class Scanner:
         self.telling = {name: IDENTIFYING if "cc" in words else IDENTIFYING - {"by"} for name, words in self.templates.items()}
         self.marks = {name: {w for w in words if w in self.telling[name] or w.isdigit() and not name.startswith("BSD")}
                       for name, words in self.templates.items()}
+        self.mark_numbers = {name: np.array([self.number[w] for w in marks], np.int64) for name, marks in self.marks.items()}
         for name, words in self.templates.items():
             held = np.zeros(len(self.number) + 1, bool)
             held[[self.number[w] for w in words]] = True
@@ -165,15 +185,19 @@ class Scanner:
         words = words_of(text)
         other = len(self.number)
         ids = np.array([self.number.get(w, other) for w in words], np.int64)
+        present = np.zeros(other + 1, bool)
+        present[ids] = True
         found = []
         for name, template in self.templates.items():
-            found += self._places(name, template, words, ids)
+            if present[self.mark_numbers[name]].all():  # all identifying words must be aligned
+                found += self._places(name, template, words, ids)
         # Of overlapping places the one with most aligned words stays, then the better covered, then the first name.
-        kept: list[tuple[str, int, int, int, float]] = []
+        # A negated notice takes its place like others, so that no shorter one inside it counts, and is left out then.
+        kept: list[tuple] = []
         for place in sorted(found, key=lambda p: (-p[3], -p[4], p[0], p[1])):
             if all(place[2] <= k[1] or place[1] >= k[2] for k in kept):
                 kept.append(place)
-        return sorted(kept, key=lambda p: p[1])
+        return sorted((p[:5] for p in kept if not p[5]), key=lambda p: p[1])
 
     def _named(self, name: str, stretch: list[str], aligned: list[str]) -> bool:
         """Whether all identifying words of the template are aligned and the stretch has no others."""
@@ -192,6 +216,9 @@ class Scanner:
         reach = size + size // 2 + 1
         total = np.concatenate([[0], np.cumsum(hits)])
         dense = np.flatnonzero(hits & (total[np.minimum(np.arange(len(ids)) + reach, len(ids))] - total[:-1] >= need))
+        # After a stretch without the template the next one begins a quarter of its length on: each word is
+        # aligned a bounded number of times, whatever the text.
+        step = max(1, size // 4)
         out = []
         done = 0
         for start in dense.tolist():
@@ -199,9 +226,14 @@ class Scanner:
                 continue
             stop = min(len(words), start + reach)
             pairs = align(words[start:stop], template)
-            if len(pairs) >= need and self._named(name, words[start + pairs[0][0] : start + pairs[-1][0] + 1], [template[j] for _, j in pairs]):
-                first, last = start + pairs[0][0], start + pairs[-1][0] + 1
-                out.append((name, first, last, len(pairs), len(pairs) / size))
+            done = start + step
+            if len(pairs) < need:
+                continue
+            first, last = start + pairs[0][0], start + pairs[-1][0] + 1
+            negated = size < NOTICE_WORDS and not NEGATIONS.isdisjoint(words[max(0, first - 2) : first])
+            scattered = size < PHRASE_WORDS and last - first > size
+            if not scattered and self._named(name, words[first:last], [template[j] for _, j in pairs]):
+                out.append((name, first, last, len(pairs), len(pairs) / size, negated))
                 done = last
         return out
 

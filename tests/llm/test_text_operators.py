@@ -401,12 +401,29 @@ def test_license_in_a_text(spark, docs):
     ("Licensed under CC BY 4.0.", ["CC-BY-4.0-short-notice"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-notice"]),
     ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-short-notice"]), ("Licensed under CC BY-NC 3.0.", []),
     ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    ("MIT License", ["MIT-title"]), ("The MIT License (MIT)", ["MIT-long-title"]), ("MIT has a license", []),
+    ("// SPDX-License-Identifier: Apache-2.0", ["SPDX-Apache-2.0"]), ("SPDX-License-Identifier: GPL-3.0-or-later", ["SPDX-GPL-3.0-or-later"]),
+    ("License: CC BY-SA 4.0", ["CC-BY-SA-4.0-line"]), ("License: CC BY-NC-ND 4.0", ["CC-BY-NC-ND-4.0-line"]),
+    ("GPL version 2 or later", ["GPL-2.0-or-later-notice"]), ("Not all rights reserved here", []), ("This is not released under the MIT License.", []),
     *[(licenses.TEMPLATES[n], [n]) for n in sorted(licenses.TEMPLATES)]])
 def test_license_names_are_those_of_the_text(text, names):
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
     assert [p[0] for p in scanner.scan(text)] == names
 
 
+def test_shuffled_license_words_take_linear_time():
+    from time import thread_time
+
+    rng, scanner = random.Random(14), licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    words = [w for n in ("MIT", "BSD-3-Clause", "Apache-2.0-header", "GPL-3.0-header") for w in licenses.words_of(licenses.TEMPLATES[n])]
+    seconds = []
+    for n in (5_000, 10_000):
+        text, begin = " ".join(rng.choices(words, k=n)), thread_time()
+        scanner.scan(text)
+        seconds.append(thread_time() - begin)
+    assert seconds[1] < 3 * seconds[0] + 0.5
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(11)
     for _ in range(300):
@@ -414,5 +431,11 @@ def test_alignment_is_a_common_subsequence():
         pairs = licenses.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        # Anchors are the longest increasing subsequence, by trying all of them.
+        places = [(i, rng.randint(0, 9)) for i in range(rng.randint(0, 9))]
+        best = [1] * len(places)
+        for i, (_, y) in enumerate(places):
+            best[i] = 1 + max((best[j] for j in range(i) if places[j][1] < y), default=0)
+        assert len(licenses.increasing(places)) == max(best, default=0)
     assert licenses.align(list("abcd"), list("abcd")) == [(i, i) for i in range(4)]
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
