@@ -8,7 +8,7 @@ from conftest import AS_OF, column
 from hirescope.catalog import project_catalog
 from hirescope.config import Config, Profile
 from hirescope.functions import dates, numbers, text
-from hirescope.operators import analytics, answers, export, filters, normalize, recommend, skills, validate
+from hirescope.operators import analytics, answers, export, filters, lookups, normalize, recommend, skills, validate
 
 
 def names_of(df, cfg):
@@ -279,3 +279,19 @@ def test_scalars(spark):
     for pay, want in [("$60k - $80k", (60, 80, "USD")), ("€1,200,000", (1200000, None, "EUR")), ("none", (None, None, None)), ("99999999999 £", (None, None, "GBP"))]:
         assert tuple(one(numbers.salary_range(lit(pay)))) == want
     assert one(numbers.round_even(lit(2.5))) == 2.0 and one(numbers.round_even(lit(3.5))) == 4.0
+
+
+def test_containment_join_is_that_of_brute_force(spark, make):
+    """Keywords of any length, among them 30,000 that stand nowhere; nothing is joined by a loop."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abé \n", k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "AB" * 40]
+    words = {"".join(rng.choices("abé ", k=rng.randint(1, 6))) for _ in range(300)} | {"a\nb", "😀x", ""}
+    rows = [(w, f"l{len(w) % 3}", len(w)) for w in sorted(words)] + [(f"none{i}", "none", 9) for i in range(30_000)]
+    keywords = spark.createDataFrame(rows, "keyword STRING, label STRING, priority INT")
+    got = lookups.containment_join(make(*[{"description": t} for t in texts]), "description", keywords, ("ingest_seq",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = {(i, n, label) for i, t in enumerate(texts) for w, label, n in rows[: len(words)] if w and w in (t or "").lower()}
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -131,6 +131,19 @@ def _(spark, sf):
     return lookups.keyword_matches(I.postings(spark, sf), "title", keywords, ("ingest_seq",))
 
 
+_OWN_KEYWORD = "lower(substr(text, 1 + CAST(doc_id % 40 AS INT), 2 + CAST(doc_id % 9 AS INT)))"
+
+
+@register("keyword_join_large", O.query(
+    O.RAW, f"kw AS (SELECT DISTINCT {_OWN_KEYWORD} AS keyword FROM documents)",
+    "SELECT ingest_seq, keyword AS label, 0 AS priority FROM raw JOIN kw ON keyword <> '' AND contains(lower(description), keyword)"))
+def _(spark, sf):
+    """As many keywords as documents, 2 to 10 characters from each text, sought in all descriptions."""
+    own = I.table(spark, sf, "documents").selectExpr(f"{_OWN_KEYWORD} AS keyword").where("keyword IS NOT NULL")
+    keywords = own.selectExpr("keyword", "keyword AS label", "0 AS priority")
+    return lookups.containment_join(I.postings(spark, sf), "description", keywords, ("ingest_seq",))
+
+
 @register(
     "dedup_postings",
     O.query(O.RAW, *O.greedy("raw"), "SELECT ingest_seq, source, external_id, title, company FROM uniq"),
