@@ -55,8 +55,7 @@ def _change(spark: SparkSession, root: str, run_id: str, operation: str, new: Da
     else:
         change = attempt.write(new, "tallies").unionByName(before)
     attempt.write(summed(change), "changes")
-    attempt.commit()
-    logs.merge(spark, root, "changes", TALLY, summed)
+    logs.merge(spark, root, "changes", TALLY, summed, now=attempt.commit())
 
 
 def add_run(root: str, run_id: str, postings: DataFrame, names: DataFrame) -> None:

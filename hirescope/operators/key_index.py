@@ -86,7 +86,9 @@ def candidates(spark: SparkSession, root: str, parts: list[Part], name: str, key
     sizes = F.array(*[F.struct(F.lit(p.attempt).alias("attempt"), F.lit(p.pages).alias("pages")) for p in parts])
     asked = keys.withColumn("_part", F.explode(sizes)).select("key", F.col("_part.attempt").alias("attempt"), _hashed(1, F.col("_part.pages")).alias("page"))
     asked = asked.withColumn("bucket", _bucket(F.col("page")))
-    stored = in_buckets(spark, root, f"{name}_filters", _FILTERS, parts, _buckets_of(asked))
+    small = all(p.pages <= FOLDER_PAGES for p in parts)  # one folder each
+    places = [(p.attempt, 0) for p in parts] if small else _buckets_of(asked)
+    stored = in_buckets(spark, root, f"{name}_filters", _FILTERS, parts, places)
     tested = reduce(Column.__and__, [_is_set(F.col("bits"), _hashed(2 + i, PAGE_BITS)) for i in range(HASHES)])
     return asked.join(stored, ["attempt", "bucket", "page"]).where(tested).select("key", "bucket", "attempt")
 
@@ -137,21 +139,19 @@ def _remove(attempt: Attempt, name: str, part: Part) -> None:
     attempt.removed += [p for p in attempt.base.parts if p.attempt == part.attempt and p.table in (name, f"{name}_filters")]
 
 
-def merge(spark: SparkSession, root: str, name: str) -> int:
-    """Merge parts while a level has ``FAN_IN`` of them; the number of merges. A version each."""
-    merges = 0
+def merge(spark: SparkSession, root: str, name: str, now: Snapshot | None = None) -> Snapshot:
+    """Merge parts while a level has ``FAN_IN`` of them, a version each; the last version. ``now`` is the latest, if known."""
+    now = now or snapshot(spark, root)
     while True:
-        now = snapshot(spark, root)
         levels: dict[int, list[Part]] = {}
         for part in now.of(name):
             levels.setdefault(part.level, []).append(part)
         full = [level for level, parts in sorted(levels.items()) if len(parts) >= FAN_IN]
         if not full:
-            return merges
+            return now
         attempt = Attempt(spark, root, f"merged-{uuid.uuid4().hex[:12]}", f"merge {name}", now)
         rows = read_parts(spark, root, levels[full[0]], _KEYS).select("key", "of_run")
         add(attempt, name, rows, full[0] + 1)
         for part in levels[full[0]]:
             _remove(attempt, name, part)
-        attempt.commit()
-        merges += 1
+        now = attempt.commit()

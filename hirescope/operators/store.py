@@ -126,9 +126,9 @@ def store_run(batch: DataFrame, root: str, run_id: str, cfg: Config, rejects: Da
     for name, keys in zip(names, (new.select("key"), written["companies"].select(key_index.key_of(F.col("company_id")).alias("key")))):
         key_index.forget(attempt, name, run_id)
         key_index.add(attempt, name, keys.withColumn("of_run", F.lit(run_id)))
-    attempt.commit()
+    now = attempt.commit()
     for name in names:
-        key_index.merge(attempt.spark, root, name)
+        now = key_index.merge(attempt.spark, root, name, now)
     return written
 
 

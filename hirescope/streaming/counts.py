@@ -65,8 +65,8 @@ def count_windows(postings: DataFrame, cfg: Config, length: str, slide: str | No
         is_late = F.lit(False) if seen is None else F.coalesce(F.col("posting_date") < F.lit(seen) - F.expr(f"INTERVAL {lateness}"), F.lit(False))
         attempt.write(_counted(dated.where(~is_late), length, slide), "additions")
         attempt.write(dated.where(is_late), "late")
-        logs.finish(attempt, batch_id, dated, "posting_date")
-        logs.merge(spark, root, "additions", WINDOWS, summed)
+        now = logs.finish(attempt, batch_id, dated, "posting_date")
+        logs.merge(spark, root, "additions", WINDOWS, summed, now=now)
 
     return (
         postings.writeStream.foreachBatch(write)
@@ -100,8 +100,7 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQue
         attempt = Attempt(spark, path, f"batch-{batch_id}", "batch")
         attempt.removed = attempt.base.of("updates", attempt.run_id)
         attempt.write(batch.withColumn("batch", F.lit(batch_id).cast("long")), "updates")
-        attempt.commit()
-        logs.merge(spark, path, "updates", logged, _last)
+        logs.merge(spark, path, "updates", logged, _last, now=attempt.commit())
 
     return (
         counts.writeStream.outputMode("update")

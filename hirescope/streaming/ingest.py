@@ -112,8 +112,8 @@ def dedup_to(postings: DataFrame, event_time: str, horizon: str, cfg: Config, ro
         attempt.write(plain(rows.where(~is_late).join(kept, "_row", "left_anti")), "repeats")
         days = firsts.select(F.to_date("first.at").alias("day"), F.col("_key").alias("key"), F.col("first.at").alias("at"))
         attempt.write(days.hint("rebalance", "day"), "seen", "day")
-        logs.finish(attempt, batch_id, rows, event_time)
-        logs.merge(spark, root, "seen", SEEN, lambda df: df, "day")
+        now = logs.finish(attempt, batch_id, rows, event_time)
+        logs.merge(spark, root, "seen", SEEN, lambda df: df, "day", now=now)
 
     return (
         postings.writeStream.foreachBatch(write)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirescope.operators.versions import Attempt, Part, read_parts, snapshot
+from hirescope.operators.versions import Attempt, Part, Snapshot, read_parts, snapshot
 from hirescope.schemas import LONG, TIME, struct
 
 FAN_IN = 8
@@ -34,22 +34,20 @@ def live(spark: SparkSession, root: str, table: str, schema: T.StructType) -> Da
 
 
 def merge(spark: SparkSession, root: str, table: str, schema: T.StructType, merged: Callable[[DataFrame], DataFrame],
-          *partitions: str) -> int:
-    """Merge parts while a level has ``FAN_IN`` of them; the number of merges. A version each."""
-    merges = 0
+          *partitions: str, now: Snapshot | None = None) -> Snapshot:
+    """Merge parts while a level has ``FAN_IN`` of them, a version each; the last version. ``now`` is the latest, if known."""
+    now = now or snapshot(spark, root)
     while True:
-        now = snapshot(spark, root)
         levels: dict[int, list[Part]] = {}
         for part in now.of(table):
             levels.setdefault(part.level, []).append(part)
         full = next((level for level, parts in sorted(levels.items()) if len(parts) >= FAN_IN), None)
         if full is None:
-            return merges
+            return now
         attempt = Attempt(spark, root, f"merged-{uuid.uuid4().hex[:12]}", f"merge {table}", now)
         attempt.removed = levels[full]
         attempt.write(merged(read_parts(spark, root, levels[full], schema)).hint("rebalance", *partitions), table, *partitions, level=full + 1)
-        attempt.commit()
-        merges += 1
+        now = attempt.commit()
 
 
 def begin(spark: SparkSession, root: str, batch_id: int) -> tuple[Attempt | None, datetime | None]:
@@ -61,10 +59,10 @@ def begin(spark: SparkSession, root: str, batch_id: int) -> tuple[Attempt | None
     return attempt, clock["seen"] if clock else None
 
 
-def finish(attempt: Attempt, batch_id: int, batch: DataFrame, event_time: str) -> None:
+def finish(attempt: Attempt, batch_id: int, batch: DataFrame, event_time: str) -> Snapshot:
     """Commit the batch with its clock."""
     before = read_parts(attempt.spark, attempt.root, attempt.base.of("clock"), CLOCK).select("seen")
     seen = batch.select(F.col(event_time).cast("timestamp").alias("seen")).union(before).agg(F.max("seen").alias("seen"))
     attempt.removed += attempt.base.of("clock")
     attempt.write(seen.select(F.lit(batch_id).cast("long").alias("batch"), "seen"), "clock")
-    attempt.commit()
+    return attempt.commit()
