@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -227,9 +227,14 @@ def latest_runs(runs: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def newest_first() -> list[Column]:
+    """Order of a listing; undated postings come last."""
+    return [F.desc_nulls_last("posting_date"), F.asc("fingerprint"), F.asc("ingest_seq")]
+
+
 def newest(df: DataFrame, k: int) -> DataFrame:
-    """The k newest postings with their ``rank``; undated ones come last."""
-    order = [F.desc_nulls_last("posting_date"), F.asc("fingerprint"), F.asc("ingest_seq")]
+    """The k newest postings with their ``rank``."""
+    order = newest_first()
     # Only the k rows that are left reach the window.
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
 

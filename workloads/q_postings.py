@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirescope.functions import dates, numbers, text
-from hirescope.operators import dedup, filters, lookups, normalize, store, validate
+from hirescope.operators import dedup, facets, filters, lookups, normalize, store, validate
 from hirescope.operators.versions import Attempt
 from hirescope.plans import discovery
 from hirescope.schemas import BOOL, LONG, STRING, struct
@@ -74,6 +74,47 @@ def _(spark, sf):
     return found.select(*SEQ_TITLE, "country", "role_category", "remote_type")
 
 
+def listing(spark, sf) -> facets.Listing:
+    """The parsed postings, stored as a listing of two runs: sponsored ones and the rest."""
+    root = scratch_path(spark, "listing")
+    columns = (*facets.FACETS, "title", "company", "posting_date", "fingerprint", "ingest_seq", "visa_sponsorship")
+    rows = filters.classify_role(normalize.parse_postings(I.postings(spark, sf), CFG), CFG).select(*columns)
+    rows = materialize(rows, "listed")
+    facets.add_listing(rows.where("visa_sponsorship"), root, "sponsored", slice_rows=2_000)
+    facets.add_listing(rows.where("NOT coalesce(visa_sponsorship, false)"), root, "others", slice_rows=2_000)
+    return facets.Listing(spark, root)
+
+
+_FACET_ROWS = (
+    f"seen AS (SELECT *, {O.ROLE} AS role FROM parsed)",
+    "facet AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS facet, {c} AS value, country AS c, remote_type AS r FROM seen"
+        for f, c in (("country", "country"), ("source", "source"), ("role_category", "role"), ("remote_type", "remote_type"))) + ")",
+)
+
+
+@register(
+    "facet_counts",
+    O.query(O.RAW, O.parsed("raw"), *_FACET_ROWS, "SELECT facet, value, count(*) AS n FROM facet WHERE value IS NOT NULL AND c = 'United States' "
+            "AND r = 'hybrid' GROUP BY facet, value").replace("WITH RECURSIVE", "WITH"),
+)
+def _(spark, sf):
+    return listing(spark, sf).facet_counts(country="United States", source="All", remote_type="hybrid")
+
+
+@register(
+    "facet_page",
+    O.query(
+        O.RAW, O.parsed("raw"),
+        "SELECT row_number() OVER (ORDER BY posting_date DESC NULLS LAST, fingerprint, ingest_seq) AS rank, ingest_seq, title, company, source "
+        "FROM parsed WHERE country = 'Remote' AND remote_type = 'remote' ORDER BY 1 LIMIT 100",
+    ),
+)
+def _(spark, sf):
+    page = listing(spark, sf).page(100, country="Remote", remote_type="remote")
+    return page.select("rank", "ingest_seq", "title", "company", "source")
+
+
 # --- joins and dedup ----------------------------------------------------------------------
 
 @register(
