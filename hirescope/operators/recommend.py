@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -166,14 +166,12 @@ def recommend_projects(
 
 # --- many users --------------------------------------------------------------------------
 
-# Highest boost a posting can get on top of its base score.
-_MAX_BOOST = 0.15
-# Base-score levels searched one after the other; a user stops at the first level
-# below which nothing can reach their k-th score any more.
-_LEVELS = (0.84, 0.5, 0.25)
+# Most percent that boosts alone can give.
+_MAX_BOOST = 15.0
+# Groups of a block that meet the classes in one task.
+_BLOCK_ROWS = 10_000
 # Postings of a kind that are looked at first when a user runs out of postings with a shared skill.
 _HEAD = 1_000
-_SALTS = 32
 
 
 def _user_classes(users: DataFrame) -> DataFrame:
@@ -224,43 +222,88 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _shared_skill_candidates(classes: DataFrame, groups: DataFrame, level: float, below: float | None) -> DataFrame:
-    """(class, group) pairs with a base score in [level, below).
+_BLOCK = ("skill", "n", "late", "entry", "visa")
 
-    A posting with n skills reaches the level only with ceil(level * n) shared
-    skills, so one of its n - ceil(level * n) + 1 rarest skills must be shared.
-    Only those are joined on, and a pair is formed at the first of them that is
-    shared, so it appears once. Common skills are the rarest skill of few
-    postings, which keeps them from pairing everyone with everything.
+
+def _entries(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of a skill in blocks of equal impact, and the blocks.
+
+    An entry is a group at one of its skills. Its block holds entries of that skill with as many skills in
+    all, the same boosts and the same half of the order by rarity. There are as many blocks as the taxonomy
+    allows, however many postings there are.
     """
-    size = F.size("by_rarity")
-    needed = F.greatest(F.ceil(size * F.lit(level) - F.lit(1e-9)).cast("int"), F.lit(1))
-    probe = groups.withColumn("_prefix", F.slice("by_rarity", F.lit(1), size - needed + 1))
-    # Few distinct skills: without a salt a join on skill would use as many tasks.
-    probe = probe.withColumn("_salt", F.pmod(F.xxhash64("group_id"), F.lit(_SALTS)).cast("int"))
-    probe = probe.select("*", F.explode("_prefix").alias("skill"))
-    salted = classes.select(
-        "class_id", "_known", F.explode("_known").alias("skill")
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    shared_prefix = F.filter("_prefix", lambda s: F.array_contains("_known", s))
-    base = F.size(F.array_intersect("by_rarity", F.col("_known"))) / size
+    listed = groups.select(
+        "group_id", "entry", "visa", "by_rarity", "seqs", F.size("by_rarity").alias("n"), F.posexplode("by_rarity").alias("at", "skill")
+    ).withColumn("late", F.col("at") * 2 >= F.col("n"))
+    blocks = listed.groupBy(*_BLOCK).agg(F.min("at").alias("least_at"), F.count(F.lit(1)).alias("n_groups")).withColumn(
+        "salts", F.ceil(F.col("n_groups") / _BLOCK_ROWS).cast("int"))
+    blocks = materialize(blocks, "rec-blocks")
+    salted = listed.join(blocks.select(*_BLOCK, "salts"), list(_BLOCK)).withColumn("_salt", F.pmod(F.xxhash64("group_id"), "salts").cast("int"))
+    return materialize(salted.drop("salts"), "rec-entries"), blocks
+
+
+def _bound(n_known: Column, left: Column, n: Column) -> Column:
+    """Best base score of a posting whose first shared skill, by rarity, has ``left`` skills from it on."""
+    return F.least(n_known, left) / n
+
+
+def _reached(best: DataFrame, k: int) -> DataFrame:
+    """(class_id, reached): the k-th score of classes that have k postings; ``best`` holds at most k of each."""
+    scores = best.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n"), F.min("match_score").alias("reached"))
+    return scores.where(F.col("_n") >= k).drop("_n")
+
+
+def _search_order(classes: DataFrame, blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """The blocks of each class's skills that can reach its list, with their bound.
+
+    ``first``: the best ones, until they hold 4 k groups; their scores are enough to rule out most others.
+    """
+    asked = classes.select("class_id", "_junior", F.size("_known").alias("n_known"), F.explode("_known").alias("skill"))
+    base = _bound(F.col("n_known"), F.col("n") - F.col("least_at"), F.col("n"))
+    bounded = (
+        asked.join(blocks, "skill").withColumn("bound", _percent(base, F.col("entry"), F.col("_junior"), F.col("visa")))
+        .join(_reached(best, k), "class_id", "left").where(F.col("bound") >= F.coalesce("reached", F.lit(0.0)))
+    )
+    order = Window.partitionBy("class_id").orderBy(F.desc("bound"), "n", "skill", "late", "entry", "visa")
+    before = F.coalesce(F.sum("n_groups").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bounded.withColumn("first", before < 4 * k).select("class_id", *_BLOCK, "salts", "bound", "first")
+
+
+def _meet(wanted: DataFrame, classes: DataFrame, entries: DataFrame, best: DataFrame, k: int, met: Observation | None) -> DataFrame:
+    """Scores of the postings in the wanted blocks that reach the k-th score of their class.
+
+    A class meets a group in one place only: at the first of the group's skills, by rarity, that it knows.
+    """
+    reached = F.coalesce("reached", F.lit(0.0))
+    known = classes.select("class_id", "_known", "_junior", F.size("_known").alias("n_known")).join(_reached(best, k), "class_id", "left")
+    spread = wanted.join(known, "class_id").where(F.col("bound") >= reached).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    base = F.size(F.array_intersect("by_rarity", "_known")) / F.col("n")
+    could = boosted(_bound(F.col("n_known"), F.col("n") - F.col("at"), F.col("n")), F.col("entry"), F.col("_junior"), F.col("visa"))
+    shared = F.filter("by_rarity", lambda s: F.array_contains("_known", s))
     pairs = (
-        probe.join(salted, ["skill", "_salt"])
-        .where(F.element_at(shared_prefix, 1) == F.col("skill"))
-        .withColumn("base", base)
-        .where(F.col("base") >= level)
+        entries.join(spread, [*_BLOCK, "_salt"])
+        .where(could * 100 + 0.1 >= reached)  # scores are rounded to one decimal
+        .where(F.element_at(shared, 1) == F.col("skill"))
+    )
+    if met is not None:
+        pairs = pairs.observe(met, F.count(F.lit(1)).alias("pairs"))
+    return (
+        pairs.withColumn("match_score", _percent(base, F.col("entry"), F.col("_junior"), F.col("visa")))
+        .where(F.col("match_score") >= reached)
+        .select("class_id", F.explode("seqs").alias("ingest_seq"), "match_score")
     )
-    if below is not None:
-        pairs = pairs.where(F.col("base") < below)
-    return pairs.select("class_id", "group_id", "base")
 
 
-def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
+def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10, met: dict | None = None) -> DataFrame:
     """Best k postings of every user: (user_id, ingest_seq, match_score, rank).
 
     Exact, ties by arrival. Users with the same known skills share a class and
     postings with the same skills and boosts share a group, so only distinct
-    classes meet distinct groups, level by level from the highest scores down.
+    classes meet distinct groups. A skill's groups lie in blocks whose best possible
+    score is known: a class first meets its best blocks, then those only that can
+    reach its k-th score so far. ``met`` is filled with the numbers of classes, groups
+    and pairs of both that were compared.
     """
     members = materialize(_representatives(postings, k), "rec-members")
     tagged = materialize(_user_classes(users).select("user_id", "class_id", "_known", "_junior"), "rec-users")
@@ -272,18 +315,7 @@ def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataF
         F.array_sort(F.collect_list("ingest_seq")).alias("seqs")  # at most k
     )
     groups = materialize(_by_rarity(groups), "rec-groups")
-    with_skills = groups.where(F.size("skill_names") > 0)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(groups.select("group_id", "entry", "visa", "seqs"), "group_id")
-            .join(classes.select("class_id", "_junior"), "class_id")
-            .select(
-                "class_id",
-                F.explode("seqs").alias("ingest_seq"),
-                _percent(F.col("base"), F.col("entry"), F.col("_junior"), F.col("visa")).alias("match_score"),
-            )
-        )
+    entries, blocks = _entries(groups.where(F.size("skill_names") > 0))
 
     # Postings without skills score the same for every class of one kind: at most 4 groups of k.
     blank = groups.where(F.size("skill_names") == 0).select(
@@ -296,30 +328,27 @@ def recommend_users(users: DataFrame, postings: DataFrame, k: int = 10) -> DataF
     )
     best = materialize(_best(blanks, k).drop("rank"), "rec-best")
 
-    open_classes = classes
-    below = None
-    for level in (*_LEVELS, 0.0):
-        pairs = _shared_skill_candidates(open_classes, with_skills, level, below)
-        best = materialize(_best(best.unionByName(scored(pairs)), k).drop("rank"), "rec-best")
-        # Nothing below the level can get past this score.
-        bound = (min(level + _MAX_BOOST, 1.0)) * 100
-        done = (
-            best.where(F.col("match_score") > F.lit(round(bound, 1)))
-            .groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-        )
-        open_classes = materialize(open_classes.join(done.select("class_id"), "class_id", "left_anti"), "rec-open")
-        below = level
-        if open_classes.isEmpty():
-            break
-    else:
-        best = materialize(_fill_without_overlap(open_classes, members, best, k), "rec-best")
+    todo = materialize(_search_order(classes, blocks, best, k), "rec-order")
+    watched = []
+    for step in ("first", "NOT first"):
+        watched.append(Observation() if met is not None else None)
+        found = _meet(todo.where(step), classes, entries, best, k, watched[-1])
+        best = materialize(_best(best.unionByName(found), k).drop("rank"), "rec-best")
+    if met is not None:
+        met.update(classes=classes.count(), groups=groups.count(), pairs=sum(w.get["pairs"] for w in watched))
+
+    # A posting without a shared skill scores by its boosts alone.
+    done = _reached(best, k).where(F.col("reached") > _MAX_BOOST)
+    open_classes = materialize(classes.join(done, "class_id", "left_anti"), "rec-open")
+    if not open_classes.isEmpty():
+        best = materialize(_best(best.unionByName(_without_overlap(open_classes, members, k)), k).drop("rank"), "rec-best")
     return tagged.select("user_id", "class_id").join(_best(best, k), "class_id").select(
         "user_id", "ingest_seq", "match_score", "rank"
     )
 
 
-def _fill_without_overlap(open_classes: DataFrame, members: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """Adds the best postings that share no skill, for classes that still have room.
+def _without_overlap(open_classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The best postings that share no skill, for classes that still have room.
 
     Such a posting scores by its boosts alone, so per kind (junior, visa) the
     first k in order of arrival are enough. Most classes find them among the first
@@ -354,5 +383,4 @@ def _fill_without_overlap(open_classes: DataFrame, members: DataFrame, best: Dat
     )
     more = top_per_group(more, ["class_id", "entry", "visa"], k, [F.asc("ingest_seq")]).drop("rank")
     # The joined postings hold those already found once more.
-    filled = found.unionByName(more).distinct().select("class_id", "ingest_seq", score)
-    return _best(best.unionByName(filled), k).drop("rank")
+    return found.unionByName(more).distinct().select("class_id", "ingest_seq", score)

@@ -59,11 +59,11 @@ def brute(users, posts, k):
     return result
 
 
-def check_users(spark, users, posts, k):
+def check_users(spark, users, posts, k, met=None):
     posts_df = spark.createDataFrame(posts, "ingest_seq BIGINT, skill_names ARRAY<STRING>, experience_level STRING, visa_sponsorship BOOLEAN")
     users_df = spark.createDataFrame(users, "user_id BIGINT, skills ARRAY<STRING>, experience_years INT")
     got = {}
-    for r in recommend.recommend_users(users_df, posts_df, k).orderBy("user_id", "rank").collect():
+    for r in recommend.recommend_users(users_df, posts_df, k, met).orderBy("user_id", "rank").collect():
         got.setdefault(r["user_id"], []).append((r["ingest_seq"], r["match_score"]))
     assert got == brute(users, posts, k)
 
@@ -77,6 +77,20 @@ def test_many_users(spark, cfg):
     check_users(spark, users, posts, 6)
 
 
+def test_few_pairs_are_compared(spark, cfg, monkeypatch):
+    monkeypatch.setattr(recommend, "_BLOCK_ROWS", 20)  # several salts a block
+    rng = random.Random(17)
+    terms = list(cfg.skills[:40])
+    # Skills by a steep law, so that the common ones are in most postings and users.
+    weights = [1 / (i + 1) for i in range(40)]
+    draw = lambda n: sorted(set(rng.choices(terms, weights, k=n)))
+    posts = [(i, draw(rng.choice([2, 4, 6, 9, 14])), rng.choice(["Junior", "Senior"]), rng.random() < 0.3) for i in range(1500)]
+    users = [(u, draw(rng.choice([2, 3, 5])), rng.choice([1, 8])) for u in range(120)]
+    met = {}
+    check_users(spark, users, posts, 10, met)
+    assert met["pairs"] < 0.15 * met["classes"] * met["groups"], met
+
+
 def test_users_who_share_nothing(spark, cfg, monkeypatch):
     monkeypatch.setattr(recommend, "_HEAD", 3)
     rng = random.Random(13)
