@@ -80,8 +80,8 @@ def listing(spark, sf) -> facets.Listing:
     columns = (*facets.FACETS, "title", "company", "posting_date", "fingerprint", "ingest_seq", "visa_sponsorship")
     rows = filters.classify_role(normalize.parse_postings(I.postings(spark, sf), CFG), CFG).select(*columns)
     rows = materialize(rows, "listed")
-    facets.add_listing(rows.where("visa_sponsorship"), root, "sponsored", slice_rows=2_000)
-    facets.add_listing(rows.where("NOT coalesce(visa_sponsorship, false)"), root, "others", slice_rows=2_000)
+    facets.add_listing(rows.where("visa_sponsorship"), root, "sponsored", slice_rows=20_000)
+    facets.add_listing(rows.where("NOT coalesce(visa_sponsorship, false)"), root, "others", slice_rows=20_000)
     return facets.Listing(spark, root)
 
 
