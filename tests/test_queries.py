@@ -33,6 +33,15 @@ def test_query(spark, db, name):
     assert got == rows(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", ["stream_dedup"])
+def test_streams_read_tables_that_are_folders_of_parts(spark, db, name, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    cursor = db.execute(ORACLE[name])
+    assert got and got == rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())

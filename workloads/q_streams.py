@@ -19,8 +19,9 @@ CFG = I.CFG
 
 
 def documents_stream(spark, sf) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of parts; a stream takes a single file by a pattern only."""
     schema = I.table(spark, sf, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{documents.parquet}}")
 
 
 def finish(query) -> None:
