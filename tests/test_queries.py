@@ -33,7 +33,7 @@ def test_query(spark, db, name):
     assert got == rows(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["stream_dedup"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_skill_demand", "stream_late"])
 def test_streams_read_tables_that_are_folders_of_parts(spark, db, name, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     df = QUERIES[name](spark, str(tmp_path))
