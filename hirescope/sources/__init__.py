@@ -10,9 +10,10 @@ from hirescope.sources.union import (
     union_sources,
     unreadable_payloads,
     usable_postings,
+    written_by_board,
 )
 
 __all__ = [
     "SOURCES", "Source", "register", "map_source", "union_sources", "quarantined", "dedup_and_cap",
-    "map_landing", "usable_postings", "unreadable_payloads",
+    "map_landing", "usable_postings", "unreadable_payloads", "written_by_board",
 ]

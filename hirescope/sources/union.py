@@ -11,12 +11,13 @@ from hirescope.config import Config
 from hirescope.functions.stats import top_per_group
 from hirescope.functions.text import fingerprint
 from hirescope.schemas import ARRIVAL, POSTING_FIELDS
-from hirescope.session import keep_listed
+from hirescope.session import keep_listed, scratch_path
 from hirescope.sources.registry import SOURCES, Source
 
 
 # More than any place inside a payload (a place is an INT).
 _ROOM = 1 << 31
+_NO_BOARD = "no board"
 
 
 def _arrival(position: Column) -> Column:
@@ -62,14 +63,28 @@ def union_sources(landing: DataFrame, cfg: Config, boards: list[str] | None = No
     return reduce(DataFrame.unionByName, branches)
 
 
+def written_by_board(landing: DataFrame, boards: list[str] | None = None) -> DataFrame:
+    """``landing`` written once, a folder per board (column ``board``) and one for all other sources.
+
+    Every branch of :func:`map_landing` works out its whole input, which of a micro-batch no filter
+    reaches into; of a table in folders it reads its own.
+    """
+    spark, path = landing.sparkSession, scratch_path(landing.sparkSession, "landed")
+    known = F.col("source").isin([b.name for b in _boards(boards)])
+    landed = landing.withColumn("board", F.when(known, F.col("source")).otherwise(_NO_BOARD))
+    landed.write.partitionBy("board").parquet(path)
+    return spark.read.schema(landed.schema).parquet(path)
+
+
 def map_landing(landing: DataFrame, cfg: Config, boards: list[str] | None = None) -> DataFrame:
     """Every record of every payload once: the posting's fields, where it came from (``landed_seq``,
-    ``landed_source``) and whether it is ``usable``.
+    ``landed_source``) and whether it is ``usable``. ``landing`` may come from :func:`written_by_board` for the same boards.
 
     Write it, and both :func:`usable_postings` and :func:`unreadable_payloads` come from one parse.
     """
     chosen = _boards(boards)
-    known = F.coalesce(F.col("source").isin([b.name for b in chosen]), F.lit(False))
+    source = F.col("board" if "board" in landing.columns else "source")
+    known = F.coalesce(source.isin([b.name for b in chosen]), F.lit(False))
     came = [F.col("ingest_seq").alias("landed_seq"), F.col("source").alias("landed_source")]
 
     def rows(records: DataFrame) -> DataFrame:
@@ -78,7 +93,7 @@ def map_landing(landing: DataFrame, cfg: Config, boards: list[str] | None = None
         return records.select("landed_seq", "landed_source", usable.alias("usable"), *fields, "ingest_seq")
 
     branches = [
-        rows(landing.where(F.col("source") == board.name)
+        rows(landing.where(source == board.name)
              .select(*came, "ingest_seq", "context", "payload", F.posexplode_outer(board.records(F.col("payload"))).alias("pos", "record"))
              .select("landed_seq", "landed_source", "payload", _arrival(F.coalesce("pos", F.lit(0))),
                      board.posting(F.col("record"), F.col("context"), cfg).alias("posting")))

@@ -21,7 +21,7 @@ from hirescope.plans.rejects import rejects
 from hirescope.plans.run import check_landed, log, with_skills
 from hirescope.schemas import LANDING, TIME, struct
 from hirescope.session import materialize
-from hirescope.sources import map_landing, unreadable_payloads
+from hirescope.sources import map_landing, unreadable_payloads, written_by_board
 from hirescope.streaming import logs
 
 
@@ -49,7 +49,7 @@ def ingest(landing: DataFrame, root: str, checkpoint: str, cfg: Config, extracto
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started = datetime.now(timezone.utc)
-        mapped = materialize(map_landing(batch, cfg), "stream-mapped")
+        mapped = materialize(map_landing(written_by_board(batch), cfg), "stream-mapped")
         found, checked, counts = check_landed(mapped, cfg)
         good = accepted(checked)
         if extractor:

@@ -115,6 +115,24 @@ def test_stream_in_many_batches_equals_store_rules(spark, landed, cfg, tmp_path)
     assert late.where(F.col("posting_date") > F.lit(AS_OF - timedelta(days=29))).isEmpty() and late.count() > 0
 
 
+def test_a_batch_is_worked_out_once_for_all_boards(spark, cfg, tmp_path):
+    """Also rows of boards that nobody knows, or of none, which are rejected."""
+    rows = [(1, "remoteok", "", '{"id": "1", "position": "Junior Data Analyst"}'), (2, "lever", "a", "<broken"), (3, "odd=/", "", "{}"), (4, None, "", "{}")]
+    source, seen = str(tmp_path / "landing"), spark.sparkContext.accumulator(0)
+    spark.createDataFrame(rows, "ingest_seq LONG, source STRING, context STRING, payload STRING").coalesce(1).write.parquet(source)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    landing = ingest.read_landing(spark, source).withColumn("payload", F.udf(count, "string")("payload"))
+    root = str(tmp_path / "store")
+    ingest.ingest(landing, root, str(tmp_path / "cp"), cfg).awaitTermination()
+    assert seen.value == len(rows)
+    unread = spark.read.parquet(f"{root}/rejects").where("array_contains(reasons, 'unreadable_payload')")
+    assert {(int(r["ingest_seq"]) >> 31, r["source"]) for r in unread.collect()} >= {(2, "lever"), (3, "odd=/"), (4, None)}
+
+
 def test_window_counts_over_batches(spark, make, cfg, tmp_path):
     source = str(tmp_path / "in")
     # The last one comes more than a year late and still counts.
