@@ -21,7 +21,8 @@ SPACES = (
 # Regex flags: case-insensitive, Unicode classes, only \n ends a line.
 FLAGS = "(?iUd)"
 SPACE = r"[\s\x1c-\x1f]"
-WORD = r"[\p{L}\p{N}_]"
+# The digit beyond the BMP is in \p{N} already; with it Java's look-behind steps by whole characters, not surrogates.
+WORD = r"[\p{L}\p{N}_%s]" % "\U0001d7d8"
 
 
 def quote(literal: str) -> str:

@@ -227,6 +227,11 @@ def test_matching(make, cfg):
     assert column(ranked, "ingest_seq", "rank") == [1, 0]
 
 
+def test_terms_after_letters_beyond_the_bmp(spark, make, cfg):
+    posts = make({"title": "\U0001d7d8sql", "description": "\U00020000kafka"}, {"title": "\U0001f600sql", "description": "c++\U0001d7d8"})
+    assert column(skills.extract_skill_names(posts, cfg), "skill_names") == [[], ["c++", "sql"]]
+
+
 def test_projects_follow_role(spark, make, cfg):
     catalog = project_catalog(spark)
     posts = make({"title": "Customer Support Specialist", "description": "zendesk csat", "role_category": "customer_service"})
