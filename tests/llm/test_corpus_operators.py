@@ -177,6 +177,78 @@ def test_rare_words_go_through_the_join(spark, docs, monkeypatch):
     assert got[99]["base_score"] == pytest.approx(p(0) + p(80) + p(40)) and got[99]["n_known"] == 2
 
 
+def tree_by_brute_force(texts, root):
+    """Retained contexts, of any length: what they list, and the weight of all else."""
+    rows, tree, level = [["<s>", *t.split(), "</s>"] for t in texts], {(): (None, 1.0)}, 1
+    while True:
+        follow = {}
+        for row in rows:
+            for i in range(level, len(row)):
+                follow.setdefault(tuple(row[i - level : i]), Counter())[row[i]] += 1
+        new = {}
+        for context, tokens in follow.items():
+            if context[1:] not in tree:
+                continue
+            total, above = sum(tokens.values()), tree[context[1:]][0]
+            cells = {t: (n, root[t] if above is None else above[t]) for t, n in tokens.items() if n > 1}
+            rest, had = total - sum(n for n, _ in cells.values()), max(1 - sum(b for _, b in cells.values()), 1e-12)
+            ratio = sum(n * math.log(n / total / b) for n, b in cells.values()) + (rest * math.log(rest / total / had) if rest else 0)
+            if cells and ratio >= max(pst.EVIDENCE, pst.DIVERGENCE * total):
+                given = {t: (n + pst.MU * b) / (total + pst.MU) for t, (n, b) in cells.items()}
+                new[context] = given, (rest / had + pst.MU) / (total + pst.MU)
+        if not new:
+            return tree
+        tree.update(new)
+        level += 1
+
+
+@pytest.mark.parametrize("head, share", [(1 << 20, 1e-6), (3, 1e-6), (3, 0.02)])
+def test_contexts_of_any_length_and_rarity(spark, docs, monkeypatch, head, share):
+    monkeypatch.setattr(pst, "HEAD", head)
+    monkeypatch.setattr(pst, "P_WORD", share)
+    rng = random.Random(8)
+    letters = [f"w{i}" for i in range(12)]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(letters) for _ in range(30)]
+        # Each of the four words before a sum tells more of it.
+        for bits in (rng.choices((0, 1), k=4) for _ in range(6)):
+            words += [*("ab"[x] for x in bits), f"s{sum(bits)}"]
+        texts.append(" ".join([*words, f"rare{i // 8}", f"next-to-the-rare{i // 8}"]))
+    table = docs(*enumerate(texts))
+    tree, counts = pst.learn(table)
+    got = {r["doc_id"]: r for r in pst.score(docs(*enumerate(texts), (1000, "a b b a s2 unseen rare3 b b b b s1")), tree, counts).collect()}
+    c = Counter(t for text in texts for t in [*text.split(), "</s>"])
+    root = {t: (x + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1)) for t, x in c.items()}
+    want = tree_by_brute_force(texts, root)
+    assert max(map(len, want)) == tree.levels >= 4 and any("rare" in context[-1] for context in want if context)
+    for i, text in [*enumerate(texts), (1000, "a b b a s2 unseen rare3 b b b b s1")]:
+        row, full = ["<s>", *text.split(), "</s>"], 0.0
+        for j in range(1, len(row)):
+            k = 0
+            while k < j and tuple(row[j - k - 1 : j]) in want:
+                k += 1
+            p = 1.0
+            while k and row[j] not in want[tuple(row[j - k : j])][0]:
+                p *= want[tuple(row[j - k : j])][1]
+                k -= 1
+            full += math.log10(p * (want[tuple(row[j - k : j])][0][row[j]] if k else root.get(row[j], 0.1 / (sum(c.values()) + 0.1 * (len(c) + 1)))))
+        assert got[i]["score"] == pytest.approx(full)
+
+
+def test_word_hashes_are_those_of_lower_cased_words():
+    import pyarrow as pa
+
+    words, owner = pst.word_hashes(*pst.utf8(pa.array(["Ab cd\x0bé", None, "", "  ", "ab", "cdefghijklmnopqrstuvwxyz CD", "É"])))
+    assert owner.tolist() == [0, 0, 0, 4, 5, 5, 6] and words[0] == words[3] and words[1] == words[5] and len(set(words.tolist())) == 5
+
+
+def test_keys_of_both_engines(spark):
+    a, b = (np.array(x, np.uint64) for x in ([0, 1, (1 << 64) - 1], [5, 1 << 63, 7]))
+    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a.view(np.int64), b.view(np.int64))], "a long, b long")
+    assert [r[0] for r in rows.select(F.xxhash64("a", "b")).collect()] == pst.mixed(a, b).view(np.int64).tolist()
+
+
 def test_scoring_nothing(spark, docs):
     tree, counts = pst.learn(docs())
     got = pst.score(docs((1, None), (2, "a b")), tree, counts).collect()
