@@ -236,6 +236,31 @@ def test_contexts_of_any_length_and_rarity(spark, docs, monkeypatch, head, share
         assert got[i]["score"] == pytest.approx(full)
 
 
+def test_the_driver_sorts_no_rows_for_the_head(spark, docs, monkeypatch):
+    kind = type(spark.range(0))
+    few = kind.limit
+    monkeypatch.setattr(kind, "limit", lambda df, n: few(df, n) if n < 50 else pytest.fail("top rows meet in the driver"))
+    monkeypatch.setattr(pst, "HEAD", 50)
+    rng = random.Random(3)
+    tree, _ = pst.learn(docs(*((i, " ".join(f"{rng.choice('abcd')}{x}" for x in rng.choices(range(9), k=40) for _ in "12")) for i in range(200))))
+    assert 0 < len(tree.over) <= 60 and 0 < len(tree.leave) <= 60
+
+
+def test_the_head_holds_the_highest_counts(spark, monkeypatch):
+    monkeypatch.setattr(pst, "HEAD", 1000)
+    rows = spark.range(20_000).selectExpr("id as key", "cast(20000 / (id + 1) as long) + 1 as n")
+    got = sorted(r["key"] for r in pst._most(rows, "n", "key").collect())
+    # Counts of 21 and 20 lie at the edge.
+    assert 900 <= len(got) <= 1020 and set(range(900)) <= set(got)
+
+
+def test_only_pairs_that_may_tell_more_are_tried_as_contexts(spark):
+    states = spark.createDataFrame([(7, 100)], "w long, total long").select(pst._of_word("w").alias("ctx"), "total")
+    # The word 7 is seen 100 times: after 11 to 14 so often. 100 ln(1.2) and 13 ln(120 / 13) are under 30.
+    counted = spark.createDataFrame([(11, 7, 100), (12, 7, 40), (13, 7, 13), (14, 7, 15), (15, 8, 90), (7, 0, 100)], "ctx long, pair long, n long")
+    assert sorted(r["total"] for r in pst._two_words(counted, states).collect()) == [15, 40]
+
+
 def test_word_hashes_are_those_of_lower_cased_words():
     import pyarrow as pa
 
