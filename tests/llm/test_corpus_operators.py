@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hirescope.llm import chat, langid, neardup, packing, pii, pst, queries, topk
+from hirescope.llm.common import KeyTable
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -261,6 +263,45 @@ def test_only_pairs_that_may_tell_more_are_tried_as_contexts(spark):
     assert sorted(r["total"] for r in pst._two_words(counted, states).collect()) == [15, 40]
 
 
+def test_counts_travel_as_few_bytes_and_none_is_lost():
+    """Counts of pairs take less than 13 bytes each (20 when context, pair and count stood in full); those of all tasks add up."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(1 / (1e-4 + rng.random()))}" for _ in range(200)) for _ in range(200)]
+    words = [f"w{i}" for i in range(40)]
+    known = KeyTable(pst.word_hashes(*pst.utf8(pa.array([" ".join(words)])))[0])
+    halves = [pa.RecordBatch.from_arrays([pa.array(x)], names=["text"]) for x in (texts[:90], texts[90:])]
+    for level in (1, 2, 3):
+        bits = np.full(1 << 24, 255, np.uint8)
+        sent = [b for x in halves for b in pst._gram_counts(level, 1, level > 2, 20, bits, None, known, iter([x]))]
+        rows = pa.Table.from_batches(sent)
+        cells = [(w, p, n) for i in range(20) for part in [rows.filter(pc.equal(rows["bucket"], i))] if len(part)
+                 for w, p, n in zip(*pst._summed(level, known, part).to_pydict().values())]
+        pairs = sum(r["rows"] for r in rows.to_pylist() if r["heads"])
+        assert sum(len(r[c]) for r in rows.to_pylist() if r["heads"] for c in ("word", "size", "pair", "n")) < 13 * pairs
+        follow, whole = Counter(), Counter()
+        for t in texts:
+            row = ["<s>", *t.split(), "</s>"]
+            for i in range(level, len(row)):
+                follow[tuple(row[i - level : i + 1])] += 1
+                whole[tuple(row[i - level : i])] += 1
+        assert sorted(n for w, _, n in cells if w) == sorted(n for n in follow.values() if n > 1)
+        assert sorted(n for w, _, n in cells if not w) == sorted(n for n in whole.values() if n > 1 and level > 2)
+
+
+def test_counts_and_tables_of_the_tree_leave_the_disk(spark, docs):
+    from hirescope.session import shared_dir
+
+    folder = Path(f"{shared_dir(spark)}/hirescope")
+    before = set(folder.glob("*"))
+    rows = [(i, "a b c a b d" * 9) for i in range(60)]
+    tree, counts = pst.learn(docs(*rows))
+    assert pst.score(docs(*rows), tree, counts).count() == 60
+    assert {x.name.rpartition("-")[0] for x in set(folder.glob("*")) - before} == {"word-counts", "terms", "scores"}
+
+
 def test_word_hashes_are_those_of_lower_cased_words():
     import pyarrow as pa
 
